@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing
+from . import decontaminate, line_dedup, mixing, url_filter
 
 QUERIES = {
+    "op3_decontamination": decontaminate.op3_decontamination,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op8_mixing": mixing.op8_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLES = {
+    "op3_decontamination": decontaminate.ORACLE,
+    "op6_url_filter": url_filter.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
