@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, url_filter
+from . import decontaminate, line_dedup, mixing, tokens, url_filter
 
 QUERIES = {
+    "op1_token_output": tokens.op1_token_output,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_mixing": mixing.op8_mixing,
