@@ -10,7 +10,7 @@ the few that pass are joined with the list, which removes false positives.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,14 +94,17 @@ def filter_urls(pages: DataFrame, listed: DataFrame, *, url_col: str = "url", de
     if bloom is not None:
         kept = spark.sparkContext.broadcast(bloom)
 
-        @F.pandas_udf("array<long>")
-        def possible(column: pd.Series) -> pd.Series:
-            n = column.map(len).to_numpy(np.int64)
-            flat = np.concatenate([np.asarray(x, np.int64) for x in column]) if n.sum() else np.zeros(0, np.int64)
-            ok, ends = kept.value.test(flat.astype(np.uint64)), np.cumsum(n)
-            return pd.Series([flat[a:b][ok[a:b]] for a, b in zip(ends - n, ends)], index=column.index, dtype=object)
-
-        rows = rows.withColumn("keys", possible("keys"))
+        def possible(it):
+            """Leaves each row only those of its keys that the filter may hold."""
+            for b in it:
+                col = b.column(b.num_columns - 1)
+                n, flat = col.value_lengths().to_numpy(zero_copy_only=False), col.flatten()
+                ok = kept.value.test(flat.to_numpy().astype(np.uint64)) if len(flat) else np.zeros(0, bool)
+                left = np.add.reduceat(np.append(ok, False).astype(np.int64), np.cumsum(n) - n) * (n > 0)
+                at = pa.array(np.concatenate([[0], np.cumsum(left)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(at, flat.filter(pa.array(ok)))], names=b.schema.names)
+
+        rows = rows.mapInArrow(possible, rows.schema)
     hits = rows.select(*ids, "url", "host", "path", "copies", F.explode_outer("keys").alias("key"))
     exact = F.broadcast(rules) if (size.bytes or 0) <= broadcast_bytes else rules
     fits = F.col("path").startswith(F.col("rule_path")) & ((F.col("host") == F.col("rule_host")) | F.col("host").endswith(F.concat(F.lit("."), F.col("rule_host"))))
