@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import identified
+from .common import identified, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANK = " \t\n\x0b\x0c\r"
@@ -46,6 +46,7 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         .where(F.char_length("key") >= min_chars)
         .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc_id", "text_hash", "pos")
     )
+    lines = written(lines, "lines")  # texts are read once; the passes below read hashes
     runs = lines.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "text_hash", "pos")
     held = runs.groupBy("h1", "h2", "doc_id").agg(F.collect_set(F.struct("text_hash", "pos")).alias("places"))
     one = F.max if keep == "last" else F.min
