@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, tokens, url_filter
+from . import decontaminate, line_dedup, mixing, quality, tokens, toxicity, url_filter
 
 QUERIES = {
     "op1_token_output": tokens.op1_token_output,
     "op3_decontamination": decontaminate.op3_decontamination,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_quality_rules": quality.op7_quality_rules,
     "op8_mixing": mixing.op8_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
