@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, quality, tokens, toxicity, url_filter
+from . import decontaminate, line_dedup, mixing, near_dup, quality, tokens, toxicity, url_filter
 
 QUERIES = {
     "op1_token_output": tokens.op1_token_output,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_near_dedup": near_dup.op5_near_dedup,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_mixing": mixing.op8_mixing,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op3_decontamination": decontaminate.ORACLE,
+    "op5_near_dedup": near_dup.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
