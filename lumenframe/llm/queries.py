@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, near_dup, quality, tokens, toxicity, url_filter
+from . import decontaminate, line_dedup, mixing, near_dup, quality, substring_exact, substring_near, tokens, toxicity, url_filter
 
 QUERIES = {
     "op1_token_output": tokens.op1_token_output,
+    "op2_suffix_dedup": substring_exact.op2_suffix_dedup,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_near_dedup": near_dup.op5_near_dedup,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_mixing": mixing.op8_mixing,
+    "op9_substring_dedup": substring_near.op9_substring_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
