@@ -180,12 +180,12 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, width: int) -> tuple[
     return out, out_at
 
 
-def batches(it, limit: int = 8 << 20):
-    """Arrow batches cut so that each has at most about ``limit`` bytes of its last column, or one row."""
+def batches(it, limit: int = 8 << 20, column: int = -1):
+    """Arrow batches cut so that each has at most about ``limit`` bytes of one column, the last by default, or one row."""
     for b in it:
         if not b.num_rows:
             continue
-        col = b.column(b.num_columns - 1)
+        col = b.column(column % b.num_columns)
         if b.nbytes <= limit:
             yield b
             continue
@@ -195,3 +195,16 @@ def batches(it, limit: int = 8 << 20):
             j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
             yield b.slice(i, j - i)
             i = j
+
+
+def kept_rows(docs: DataFrame, text_col: str, prepare) -> DataFrame:
+    """Rows of docs, all columns, whose text a judge keeps; ``prepare()`` makes the judge once a task: (bytes, offsets) -> mask."""
+    k = docs.columns.index(text_col)
+
+    def run(it):
+        judge = prepare()
+        for whole in it:
+            for b in batches([whole], 8 << 20, k):
+                yield b.filter(pa.array(judge(*string_bytes(b.column(k)))))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, identified, string_bytes
+from .common import batches, identified, kept_rows, string_bytes
 
 #: Bytes of benchmark texts that one automaton is built of; larger benchmarks are scanned in blocks of items.
 AUTOMATON_BYTES = 32 << 20
@@ -140,6 +140,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     return out.select("doc_id", "n_words", "runs", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("c")).drop("c")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """docs without the rows that have a window of a benchmark item; all columns stay.  Larger benchmarks are applied in blocks, one after another."""
+    b = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.encode(F.col(f"`{item_text_col}`").cast("string"), "UTF-8").alias("text")).dropna()
+    size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = 1 if size <= automaton_bytes else 2 * -(-size // automaton_bytes)
+    for k in range(blocks):
+        items = sorted((r.item, bytes(r.text)) for r in b.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect())
+        docs = kept_rows(docs, text_col, lambda items=items: _clean(automaton(items, width)))
+    return docs
+
+
+def _clean(machine):
+    def judge(raw, at):
+        data = raw.tobytes()
+        return np.array([not scan(machine, data[a:z])[1] for a, z in zip(at[:-1].tolist(), at[1:].tolist())], bool)
+
+    return judge
+
+
 def op3_decontamination(spark, sf_dir):
     found = find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"])

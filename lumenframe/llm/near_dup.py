@@ -189,6 +189,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).cast("long").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **kw) -> DataFrame:
+    """docs without those that nearly repeat a document with a smaller id; all columns stay."""
+    gone = written(near_duplicates(docs, id_col=id_col, **kw).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "near-gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col(f"`{id_col}`").cast("long") == F.col("gone"), "left_anti")
+
+
 def op5_near_dedup(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _GOLD, LOWER, batches, identified, mix, span_hashes, string_bytes
+from .common import _GOLD, LOWER, batches, identified, kept_rows, mix, span_hashes, string_bytes
 
 #: Labelled documents that training reads at most, for either label, and the bytes of the longest text among them.
 SAMPLE_DOCS = 2400
@@ -224,6 +224,12 @@ def score_toxicity(docs: DataFrame, model: SubwordSoftmax, *, id_col: str = "doc
     return identified(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
 
+def drop_toxic(docs: DataFrame, model: SubwordSoftmax, *, text_col: str = "text", cut: float = 0.5) -> DataFrame:
+    """docs without the rows that score ``cut`` or more; all columns stay."""
+    kept = docs.sparkSession.sparkContext.broadcast(model)
+    return kept_rows(docs, text_col, lambda: lambda raw, at: kept.value.scores(raw, at) < cut)
+
+
 def op4_toxicity(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
