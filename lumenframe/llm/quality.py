@@ -26,14 +26,14 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 #: Steps of the cutoff grid.
 GRID = 200
-#: Rules: name, the rate in SQL over the statistics, and the grid's far end (its lenient side is the far end; for a negative one the rate is turned round).
+#: Rules: name and the rate, a text statistic brought to 0 to 1 that is high where a text is to be rejected; null where it has no denominator.
 RULES = {
-    "symbols": ("n_symbols / n_words", 1.0),
-    "repeated_lines": ("n_dup_lines / n_lines", 1.0),
-    "repeated_words": ("n_repeat_words / n_words", 1.0),
-    "capitals": ("n_upper / word_chars", 1.0),
-    "long_words": ("word_chars / n_words / 40", 1.0),
-    "short_words": ("1 - word_chars / n_words / 40", 1.0),
+    "symbols": "try_divide(n_symbols, n_words)",
+    "repeated_lines": "try_divide(n_dup_lines, n_lines)",
+    "repeated_words": "try_divide(n_repeat_words, n_words)",
+    "capitals": "try_divide(n_upper, word_chars)",
+    "long_words": "try_divide(word_chars, n_words) / 40",
+    "short_words": "1 - try_divide(word_chars, n_words) / 40",
 }
 
 
@@ -128,8 +128,7 @@ def select_cutoffs(counts: dict[tuple[str, str], tuple[np.ndarray, np.ndarray]],
 
 
 def _step(rule: str):
-    rate, _ = RULES[rule]
-    return F.expr(f"cast(coalesce(least({GRID}D, greatest(0D, ceil(({rate}) * {GRID}))), 0D) as int)")
+    return F.expr(f"cast(coalesce(least({GRID}D, greatest(0D, cast(ceil(({RULES[rule]}) * {GRID}) as double))), 0D) as int)")
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", risk: float = 0.02, delta: float = 0.05, min_words: int = 10, repeat_percent: int = 20) -> DataFrame:
