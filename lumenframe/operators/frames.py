@@ -35,7 +35,7 @@ class Geometry:
         flat = np.frombuffer(data, self.dtype)
         if len(flat) != self.pixels:
             raise ValueError(f"a frame has {len(flat)} pixels, not {self.ny} x {self.nx}")
-        return flat.astype(np.int64) if self.dtype[-2] in "ui" else flat
+        return flat
 
 
 def _frames(b: pa.RecordBatch, geom: Geometry):
@@ -69,9 +69,9 @@ def per_pixel(frames: DataFrame, geom: Geometry, how: str = "max") -> DataFrame:
         total = None
         for b in it:
             for _, img in _frames(b, geom):
-                total = img.copy() if total is None else fold(total, img, out=total)
+                total = img.astype(np.int64 if how == "sum" else img.dtype) if total is None else fold(total, img, out=total)
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(geom.pixels, dtype=np.int64)), pa.array(total)], ["i", "t"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(geom.pixels, dtype=np.int64)), pa.array(total.astype(np.int64))], ["i", "t"])
 
     agg = {"max": F.max, "min": F.min, "sum": F.sum}[how]
     folded = _pair(frames).mapInArrow(run, "i long, t long").groupBy("i").agg(agg("t").alias("t"))
@@ -86,7 +86,28 @@ def _threshold(dark, eps: int, geom: Geometry):
     t = calibration_array(dark, geom) if isinstance(dark, DataFrame) else np.asarray(dark, np.int64).ravel()
     if t.shape != (geom.pixels,):
         raise ValueError("the calibration frame's shape is not the frames'")
-    return t + int(eps)
+    return Threshold(t + int(eps), geom)
+
+
+class Threshold:
+    """Per-pixel thresholds, also in the pixels' own type: most pixels are background and are only compared, never widened."""
+
+    def __init__(self, t: np.ndarray, geom: Geometry):
+        self.t = t
+        kind = np.dtype(geom.dtype)
+        self.own = None
+        if kind.kind in "ui":
+            info = np.iinfo(kind)
+            if len(t) == 0 or t.min() >= info.min:
+                self.own = np.minimum(t, info.max).astype(kind)
+
+    def mask(self, img: np.ndarray) -> np.ndarray:
+        return img > (self.own if self.own is not None else self.t)
+
+    def foreground(self, img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the foreground in scan order, and their values above the threshold."""
+        at = np.flatnonzero(self.mask(img))
+        return at, img[at].astype(np.int64) - self.t[at]
 
 
 def reduce_l1(frames: DataFrame, dark, eps: int, geom: Geometry) -> DataFrame:
@@ -97,9 +118,8 @@ def reduce_l1(frames: DataFrame, dark, eps: int, geom: Geometry) -> DataFrame:
         for b in it:
             out = [[], [], []]
             for f, img in _frames(b, geom):
-                v = img - t.value
-                at = np.flatnonzero(v > 0)
-                for o, c in zip(out, (np.full(len(at), f), at, v[at])):
+                at, v = t.value.foreground(img)
+                for o, c in zip(out, (np.full(len(at), f), at, v)):
                     o.append(c)
             if out[0]:
                 f, at, v = (np.concatenate(o) for o in out)
@@ -116,8 +136,7 @@ def frame_stats(frames: DataFrame, dark, eps: int, geom: Geometry) -> DataFrame:
         for b in it:
             rows = []
             for f, img in _frames(b, geom):
-                v = img - t.value
-                v = v[v > 0]
+                v = t.value.foreground(img)[1]
                 rows.append((f, len(v), int(v.sum()), int(v.max(initial=0)), int(v.min()) if len(v) else 0))
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["frame_id", "n_fg", "sum_v", "max_v", "min_v"])
@@ -135,9 +154,8 @@ def events(frames: DataFrame, dark, eps: int, geom: Geometry, border: str = "kee
         for b in it:
             parts = [[], [], []]
             for f, img in _frames(b, geom):
-                v = img - t.value
-                at = np.flatnonzero(v > 0)
-                for o, c in zip(parts, (np.full(len(at), f), at, v[at])):
+                at, v = t.value.foreground(img)
+                for o, c in zip(parts, (np.full(len(at), f), at, v)):
                     o.append(c)
             if parts[0]:
                 f, at, v = (np.concatenate(o) for o in parts)
@@ -157,19 +175,44 @@ def pack_frames(frames: DataFrame, dark, eps: int, geom: Geometry, *, level: int
     3 the foreground bitmap, 4 the centroid bitmap.  Events whose centroids round to one pixel collapse: the first by label gives the
     statistic.  ``codec`` None leaves the streams as they are.  Values must fit ``depth`` bits unless ``scale`` is set.
     """
+    t = frames.sparkSession.sparkContext.broadcast(_threshold(dark, eps, geom))
+    options = dict(level=level, depth=depth, codec=codec, codec_level=codec_level, border=border, stat=stat, rounding=rounding, scale=scale, centroid=centroid)
+    packer(None, geom, **options)  # bad options fail here
+
+    def run(it):
+        pack = packer(t.value, geom, **options)
+        for b in it:
+            yield record_batch([pack(f, img) for f, img in _frames(b, geom)])
+
+    return _pair(frames).mapInArrow(run, RECORD)
+
+
+_RECORD_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
+
+
+def record_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * 8
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _RECORD_KINDS)], [c.split()[0] for c in RECORD.split(", ")])
+
+
+def packer(t: Threshold | None, geom: Geometry, *, level: int = 1, depth: int = 12, codec: str | None = "zlib", codec_level: int = 1, border: str = "keep", stat: str = "max", rounding: str | None = None, scale: bool = False, centroid: str = "weighted"):
+    """A function of (frame_id, image) that gives a record's fields."""
     if level not in (1, 2, 3, 4):
         raise ValueError("level must be 1, 2, 3 or 4")
+    if codec and codec not in codecs.CODEC_IDS:
+        raise ValueError(f"unknown codec {codec!r}")
     rounding = rounding or ("floor" if level == 2 else "half_up")
-    t = frames.sparkSession.sparkContext.broadcast(_threshold(dark, eps, geom))
 
-    def streams(f, img):
-        v = img - t.value
-        at = np.flatnonzero(v > 0)
-        if level in (1, 3):
-            mask = v > 0
-            vals = v[at] if level == 1 else np.zeros(0, np.int64)
+    def pack(f, img):
+        if level == 3:
+            mask, vals = t.mask(img), np.zeros(0, np.int64)
+        elif level == 1:
+            mask = t.mask(img)
+            at = np.flatnonzero(mask)
+            vals = img[at].astype(np.int64) - t.t[at]
         else:
-            e = kernels.event_rows(np.full(len(at), f), at // geom.nx, at % geom.nx, v[at], geom.ny, geom.nx, border)
+            at, v = t.foreground(img)
+            e = kernels.event_rows(np.full(len(at), f), at // geom.nx, at % geom.nx, v, geom.ny, geom.nx, border)
             cy, cx = centroids(e, centroid, rounding)
             spot, first = np.unique(cy * geom.nx + cx, return_index=True)
             mask = np.zeros(geom.pixels, bool)
@@ -184,15 +227,7 @@ def pack_frames(frames: DataFrame, dark, eps: int, geom: Geometry, *, level: int
             bitmap, packed = codecs.compress(bitmap, codec, codec_level), codecs.compress(packed, codec, codec_level) if level in (1, 2) else b""
         return f, level, n, bitmap, packed, len(bitmap), len(packed), raw
 
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
-    names = [c.split()[0] for c in RECORD.split(", ")]
-
-    def run(it):
-        for b in it:
-            cols = list(zip(*(streams(f, img) for f, img in _frames(b, geom)))) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
-
-    return _pair(frames).mapInArrow(run, RECORD)
+    return pack
 
 
 def centroids(e: dict[str, np.ndarray], scheme: str = "weighted", rounding: str = "half_up") -> tuple[np.ndarray, np.ndarray]:

@@ -214,6 +214,38 @@ class RcReader(_FrameReader):
                 yield pa.RecordBatch.from_arrays([pa.array([p.path] * k, pa.string()), pa.array(np.full(k, frame, np.int64)), pa.array((spot // h["nx"]).astype(np.int32)), pa.array((spot % h["nx"]).astype(np.int32)), pa.array(v.astype(np.int32))], ["path", "frame_id", "y", "x", "v"])
 
 
+class ReducingReader(_FrameReader):
+    """Frames of an inner format, packed where they are read: dense pixels never leave the reading task."""
+
+    def __init__(self, options):
+        super().__init__(options)
+        self.inner = {"raw_frames": RawReader, "mrc": MrcReader, "seq": SeqReader}[options.get("source", "raw_frames")](options)
+
+    def count(self, path):
+        return self.inner.count(path)
+
+    def frames(self, p):
+        from ..operators.frames import Geometry, Threshold, packer, record_batch
+
+        o = self.options
+        geom = Geometry(int(o["ny"]), int(o["nx"]), o.get("dtype", "<u2"))
+        t = np.fromfile(_local(o["threshold"]), "<i8")
+        if len(t) != geom.pixels:
+            raise ValueError("the threshold file's shape is not the frames'")
+        codec = o.get("codec", "zlib")
+        pack = packer(Threshold(t, geom), geom, level=int(o.get("level", 1)), depth=int(o.get("depth", 12)), codec=None if codec == "none" else codec, codec_level=int(o.get("codec_level", 1)))
+        self.inner.lo, self.inner.hi, self.inner.only = self.lo, self.hi, self.only
+        rows, size = [], 0
+        for _, f, data in self.inner.frames(p):
+            rows.append(pack(f, geom.image(data)))
+            size += len(rows[-1][3]) + len(rows[-1][4])
+            if size > 16 << 20:
+                yield record_batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield record_batch(rows)
+
+
 class HeaderReader(DataSourceReader):
     """One row a file, with its header's fields as a map."""
 
@@ -360,6 +392,7 @@ SOURCES = [
     _source("mrc", MrcReader, FRAMES, lambda o, w: DenseWriter(o, w, "mrc")),
     _source("seq", SeqReader, FRAMES, lambda o, w: DenseWriter(o, w, "seq")),
     _source("rc", RcReader, SPARSE, RcWriter),
+    _source("reduced_frames", ReducingReader, "frame_id long, level int, n int, bitmap binary, vals binary, bitmap_bytes int, vals_bytes int, packed_bytes int"),
     _source("rc_header", lambda o: HeaderReader(o, headers.read_reduced_header), _HEADERS),
     _source("mrc_header", lambda o: HeaderReader(o, headers.read_mrc_header), _HEADERS),
     _source("seq_header", lambda o: HeaderReader(o, headers.read_seq_header), _HEADERS),
@@ -372,3 +405,17 @@ def register(spark: SparkSession) -> SparkSession:
     for s in SOURCES:
         spark.dataSource.register(s)
     return spark
+
+
+def reduce_files(spark: SparkSession, path: str, source: str, dark, eps: int, geom, threshold_file: str, **options):
+    """Packed records of frame files, thresholded and packed by the tasks that read them.
+
+    ``dark`` is a table (y, x, t) or an array; thresholds are written once to ``threshold_file``, which all executors must reach.
+    """
+    from ..operators.frames import _threshold
+
+    _threshold(dark, eps, geom).t.astype("<i8").tofile(_local(threshold_file))
+    r = spark.read.format("reduced_frames").option("source", source).option("ny", geom.ny).option("nx", geom.nx).option("dtype", geom.dtype).option("threshold", threshold_file)
+    for k, v in options.items():
+        r = r.option(k, v)
+    return r.load(path)

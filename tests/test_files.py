@@ -71,6 +71,16 @@ def test_reduced_parts_and_merged_files(spark, stack, tmp_path, level, codec):
     assert h["reduction_level"] == str(level) and h["nx"] == "7"
 
 
+def test_reducing_while_reading(spark, stack, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "f.bin").write_bytes(stack.tobytes())
+    dark = np.full(G.pixels, 150)
+    got = readers.reduce_files(spark, str(tmp_path / "in"), "raw_frames", dark, 30, G, str(tmp_path / "t.bin"), frames_per_partition=4)
+    want = frames.pack_frames(table(spark, stack), dark, 30, G)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert [r.frame_id for r in got.where("frame_id = 7").collect()] == [7]
+
+
 def test_reduce_then_expand_is_the_clipped_difference(spark, stack):
     dark = np.arange(G.pixels) * 5
     l1 = frames.reduce_l1(table(spark, stack), dark, 7, G)
