@@ -3,15 +3,16 @@
 A document's set has its distinct five-word shingles.  Two collections of half keys, each of ``rows`` minhashes, are
 drawn; a table's key combines one half key of either collection, so ``halves`` ** 2 tables cost only
 2 * halves * rows minhashes.  Half keys that no other document has are dropped before keys are combined.  In each table
-bucket the document with the most collisions is the hub that the others are verified against on full sets; what
-this leaves open between the verified components of a bucket is then verified pair by pair.
+bucket the document with the most collisions is the hub that the others are verified against on full sets.  Pairs of a
+hub's partners that this leaves open are found by their edits relative to the hub, with a prefix filter that loses
+none, and verified as well.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, batches, identified, mix, partitions, seeded, shingle_hashes, string_bytes, word_hashes, written
@@ -98,11 +99,15 @@ def _ship(rows):
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.binary())], ["hub", "salt", "first", "member", "hashes"])
 
 
-def _compared(percent: int):
+_COMPARED = "hub long, member long, hub_n long, n long, common long, edits array<long>"
+
+
+def _compared(edits: bool):
     def run(it):
         hub, held = None, None
+        names = [c.split()[0] for c in _COMPARED.split(", ")]
         for b in it:
-            a_s, b_s = [], []
+            out: list[list] = [[] for _ in names]
             for h, s, first, m, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)):
                 own = np.frombuffer(blob.as_buffer(), np.uint64)
                 if first == 0:
@@ -111,18 +116,24 @@ def _compared(percent: int):
                 if hub != (h, s):
                     raise RuntimeError("a hub's set is missing")
                 both = np.searchsorted(held, own)
-                common = int((held[np.minimum(both, len(held) - 1)] == own).sum())
-                if 100 * common >= percent * (len(held) + len(own) - common):
-                    a_s.append(h)
-                    b_s.append(m)
-            if a_s:
-                yield pa.RecordBatch.from_arrays([pa.array(a_s, pa.int64()), pa.array(b_s, pa.int64())], ["a", "b"])
+                shared = held[np.minimum(both, len(held) - 1)] == own
+                common = int(shared.sum())
+                if edits:
+                    lost = np.ones(len(held), bool)
+                    lost[both[shared]] = False
+                    # what the hub has more is told apart from what it lacks by another hash
+                    diff = np.concatenate([mix(held[lost] + _U(1)), own[~shared]]).astype(np.int64)
+                else:
+                    diff = np.zeros(0, np.int64)
+                for col, v in zip(out, (h, m, len(held), len(own), common, diff)):
+                    col.append(v)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:5]), pa.array(out[5], pa.list_(pa.int64()))], names)
 
     return run
 
 
-def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (hub, member) whose full sets are similar enough, as edges (a, b).
+def compare(docs: DataFrame, pairs: DataFrame, width: int, edits: bool = False) -> DataFrame:
+    """The pairs (hub, member) with the sizes of their full sets and of what these have in common; with ``edits`` also what either has alone.
 
     Each member's set goes once to each of its hubs; a hub's partners are compared as they stream by in sorted
     order.  A hub with many partners is dealt over salts, each with its own copy of the hub's set.
@@ -137,7 +148,43 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
     texts = docs.join(F.broadcast(plan) if few else plan, "doc_id").select("doc_id", "hubs", "salts", "text")
     shipped = texts.mapInArrow(_shipped(width), "hub long, salt int, first int, member long, hashes binary")
     dealt = shipped.repartition(partitions(spark), "hub", "salt").sortWithinPartitions("hub", "salt", "first")
-    return dealt.mapInArrow(_compared(percent), "a long, b long")
+    return dealt.mapInArrow(_compared(edits), _COMPARED)
+
+
+def open_pairs(compared: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Pairs (hub, member) of partners of one hub that may be similar enough though their components differ so far.
+
+    Relative to the hub a set is a list of edits: hub tokens that it lacks and tokens of its own.  Two partners x and y have
+    |hub| - |lacks x| - |lacks y| + (edits in common) tokens in common.  With weight s = share * |set| + |lacks|, where share is
+    percent / (100 + percent), they are similar if and only if they share at least need = s(x) + s(y) - |hub| edits.  need is
+    positive unless both are similar to the hub.  So a pair shares one of x's first |edits| - need + 1 edits with
+    y's, in any common order; in order of rarity among the hub's partners few do by chance.  As need depends on both, weights are
+    cut into levels: an edit is listed under its own member's level and each level of the other for which it comes early enough.
+    """
+    c = comp.select("node", "component")
+    rows = compared.join(c.select(F.col("node").alias("hub"), F.col("component").alias("hub_comp")), "hub", "left").withColumn("hub_comp", F.coalesce("hub_comp", "hub"))
+    rows = rows.join(c.select(F.col("node").alias("member"), F.col("component").alias("comp")), "member", "left").withColumn("comp", F.coalesce("comp", "member"))
+    away = rows.where("comp <> hub_comp").select("hub").distinct()
+    share = percent / (100 + percent)
+    # weights above that of the hub itself, in steps of a 32nd of the hub's size
+    rows = rows.join(away, "hub", "left_semi").withColumn("weight", F.expr(f"{share!r}D * (n - hub_n) + (hub_n - common)")).withColumn("step", F.expr("greatest(1D, hub_n / 32D)"))
+    rows = rows.withColumn("level", F.expr("cast(least(12D, floor(weight / step + 1e-9)) as int)")).withColumn("size", F.size("edits"))
+    # need(b) = weight + b * step - (1 - 2 * share) * hub_n for the lower end of level b
+    rows = rows.withColumn("slack", F.expr(f"size + 1 - weight + {1 - 2 * share!r}D * hub_n + 1e-6"))
+    rows = written(rows.select("hub", "member", "n", "comp", "hub_comp", "level", "slack", "step", "size", F.explode("edits").alias("edit")), "near-edits")
+    rare = rows.groupBy("hub", "edit").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("hub", "member").orderBy("df", "edit"))
+    heads = rows.join(rare, ["hub", "edit"]).withColumn("place", place).where("df > 1 AND place <= slack")
+    # only levels that some member of the hub has, and of these, for members in the hub's component, only levels of the others
+    levels = rows.select("hub", "member", "level", "comp", "hub_comp").distinct().groupBy("hub").agg(F.collect_set("level").alias("all_levels"), F.collect_set(F.when(F.col("comp") != F.col("hub_comp"), F.col("level"))).alias("away_levels"))
+    heads = heads.withColumn("top", F.expr("least(12D, floor((slack - place) / step))")).join(levels, "hub")
+    others = F.expr("filter(CASE WHEN comp <> hub_comp THEN all_levels ELSE away_levels END, b -> b <= top)")
+    heads = heads.select("hub", "edit", "member", "n", "comp", "hub_comp", "level", F.explode(others).alias("other"))
+    heads = written(heads, "near-heads")
+    x = heads.where("comp <> hub_comp").select("hub", "edit", F.col("level").alias("lx"), F.col("other").alias("ly"), F.col("member").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
+    y = heads.select("hub", "edit", F.col("other").alias("lx"), F.col("level").alias("ly"), "member", "n", "comp")
+    both = x.join(y, ["hub", "edit", "lx", "ly"]).where("x <> member AND x_comp <> comp").where(f"100 * least(n, x_n) >= {percent} * greatest(n, x_n)")
+    return both.select(F.least("x", "member").alias("hub"), F.greatest("x", "member").alias("member")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, halves: int = 14, rows: int = 3, seed: int = 41) -> DataFrame:
@@ -164,24 +211,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     hits = written(keys.join(counts, "key"), "near-hits")
     degrees = hits.groupBy("rep").agg(F.sum(F.col("c") - 1).alias("degree"))
     hits = hits.join(degrees, "rep")
-    hubs = hits.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"), "n")).alias("m")).select("key", (-F.col("m.r")).alias("hub"), F.col("m.n").alias("hub_n"))
-    alike = lambda a, b: f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
-    stars = hits.join(hubs, "key").where("rep <> hub").where(alike("n", "hub_n")).select("hub", F.col("rep").alias("member")).distinct()
-    # of a pair that is each other's hub one side is enough
-    stars = stars.groupBy(F.least("hub", "member").alias("lo"), F.greatest("hub", "member").alias("hi")).agg(F.min("hub").alias("hub")).select("hub", F.when(F.col("hub") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("member"))
-    stars = written(stars, "near-stars")
-    links = written(verify(d, stars, width, percent), "near-links")
+    hubs = hits.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("m")).select("key", (-F.col("m.r")).alias("hub"))
+    stars = written(hits.join(hubs, "key").where("rep <> hub").select("hub", F.col("rep").alias("member")).distinct(), "near-stars")
+    linked = f"100 * common >= {percent} * (hub_n + n - common)"
+    compared = written(compare(d, stars, width, edits=True), "near-compared")
+    links = compared.where(linked).select(F.col("hub").alias("a"), F.col("member").alias("b"))
     comp = components(links)
-    # pairs of one bucket in different components so far
-    named = hits.select("key", "rep", "n").join(comp, hits["rep"] == comp["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    split = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    open_rows = written(named.join(split, "key"), "near-open")
-    other = open_rows.select("key", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
-    cross = open_rows.join(other, "key").where("rep > hub AND comp <> hub_comp").where(alike("n", "hub_n")).select("hub", F.col("rep").alias("member")).distinct()
-    tested = stars.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member"))
-    cross = written(cross.join(tested, ["hub", "member"], "left_anti"), "near-cross")
+    cross = written(open_pairs(compared, comp, percent), "near-cross")
     if not cross.isEmpty():
-        more = written(verify(d, cross, width, percent), "near-links")
+        more = written(compare(d, cross, width).where(linked).select(F.col("hub").alias("a"), F.col("member").alias("b")), "near-links")
         if not more.isEmpty():
             comp = components(links.unionByName(more))
     final = classes.join(comp, classes["rep"] == comp["node"], "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
