@@ -208,3 +208,14 @@ def kept_rows(docs: DataFrame, text_col: str, prepare) -> DataFrame:
                 yield b.filter(pa.array(judge(*string_bytes(b.column(k)))))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def trim() -> None:
+    """Gives a worker's freed memory back to the system: large arrays of mixed sizes leave the allocator's heap full of holes."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass

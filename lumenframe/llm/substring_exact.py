@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _GOLD, batches, identified, mix, partitions, string_bytes, written
+from .common import _GOLD, batches, identified, mix, partitions, string_bytes, trim, written
 
 #: Bytes of text whose keys a task combines before it sends them on.
-COMBINE_BYTES = 32 << 20
+COMBINE_BYTES = 8 << 20
 #: Documents with open windows up to which their list may be broadcast.
 BROADCAST_DOCS = 1 << 16
+#: Ranges of the first digit that each sorting task settles one after another.
+RANGES = 6
 _RUN = 48
 _U = np.uint64
 _C1, _C2, _C3 = _U(0xA24BAED4963EE407), _U(0x9FB21C651E98DF25), _U(0xD6E8FEB86659FD93)
@@ -178,11 +180,14 @@ class _Sender:
         order, least, _ = combined(r, ids)
         yield from _flags(_take(r, order[~least]), ids, ties, self.n)
         order = order[least]
-        part = ((r["h"][order] >> _U(32)) * _U(self.n) >> _U(32)).astype(np.int64)  # ranges of the first digit
+        # ranges of the first digit: a sorting task has several, and settles one after another
+        ranges = self.n * RANGES
+        part = ((r["h"][order] >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
         for idx in np.split(order, np.flatnonzero(np.diff(part)) + 1):
             if len(idx):
-                yield _row(0, int((int(r["h"][idx[0]]) >> 32) * self.n >> 32), pack(_take(r, idx), ids, ties))
+                yield _row(0, int((int(r["h"][idx[0]]) >> 32) * ranges >> 32), pack(_take(r, idx), ids, ties))
         self.parts, self.ids, self.ties, self.size, self.docs = [], [], [], 0, 0
+        trim()
 
 
 def _ids(b) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +197,7 @@ def _ids(b) -> tuple[np.ndarray, np.ndarray]:
 def _run_pass(threshold: int, gram: int, n: int):
     def run(it):
         send = _Sender(n)
-        for b in batches(it, 2 << 20):
+        for b in batches(it, 1 << 19):
             raw, at = string_bytes(b.column(2))
             h, k, lo, size = runs_of(raw, at, threshold, gram)
             doc = np.searchsorted(at, lo, "right") - 1
@@ -209,7 +214,7 @@ def _run_pass(threshold: int, gram: int, n: int):
 def _window_pass(threshold: int, n: int):
     def run(it):
         send = _Sender(n)
-        for b in batches(it, 2 << 20):
+        for b in batches(it, 1 << 19):
             raw, at = string_bytes(b.column(3))
             ids, ties = _ids(b)
             u, doc, lo, size = _words(raw), [], [], []
@@ -278,16 +283,19 @@ def _sort_pass(n: int, deeper: bool):
                 if p != part and held:
                     yield from close()
                     held = []
+                    trim()
                 part = p
                 held.append(blob)
         if held:
             yield from close()
+            held = []
+        trim()
 
     return run
 
 
 def _sorted(df: DataFrame, n: int, deeper: bool) -> DataFrame:
-    dealt = df.repartitionById(n, F.col("part").cast("int")).sortWithinPartitions("kind", "part")
+    dealt = df.repartitionById(n, F.pmod("part", F.lit(n)).cast("int")).sortWithinPartitions("kind", "part")
     return dealt.mapInArrow(_sort_pass(n, deeper), f"{_OUT}, doc_id long, tie long")
 
 
