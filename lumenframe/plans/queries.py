@@ -335,7 +335,7 @@ def codec_sizes(spark, d):
 
 @query()
 def fft_view(spark, d):
-    return views.spectrum(views.every_nth(raw_frames(spark, d), 10), GEOM)
+    return views.spectrum(raw_frames(spark, d), GEOM)
 
 
 @query()
