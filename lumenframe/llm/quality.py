@@ -93,15 +93,16 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     """Clopper-Pearson: the largest p under which at most k of n are as likely as delta."""
     if n == 0 or k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(max(0, k - 4000), k + 1)]
+    i = np.arange(k + 1)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(n - i[1:] + 1) - np.log(i[1:]))])
     lo, hi = k / n, 1.0
     for _ in range(60):
         p = (lo + hi) / 2
         if p <= 0 or p >= 1:
             break
-        terms = [c + i * math.log(p) + (n - i) * math.log1p(-p) for c, i in zip(logs, range(max(0, k - 4000), k + 1))]
-        top = max(terms)
-        if top + math.log(sum(math.exp(t - top) for t in terms)) > math.log(delta):
+        terms = logs + i * math.log(p) + (n - i) * math.log1p(-p)
+        top = float(terms.max())
+        if top + math.log(float(np.exp(terms - top).sum())) > math.log(delta):
             lo = p
         else:
             hi = p
