@@ -95,7 +95,7 @@ def test_special_strings_and_odd_spaces_are_encoded_as_by_the_library():
 
 
 def test_exact_windows(docs, none):
-    from test_queries import windows_removed
+    from test_corpus_queries import windows_removed
 
     got = {(r.doc_id): (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in substring_exact.remove_spans(substring_exact.repeated_spans(docs)).collect()}
     # the null id precedes all others
@@ -110,7 +110,7 @@ def test_exact_windows_across_many_sources(spark):
     r = random.Random(11)
     pool = [prose(12, s) for s in range(6)]
     rows = [(i, "".join(r.choice(pool)[: r.randint(10, 90)] + r.choice("xyz") for _ in range(r.randint(0, 6)))) for i in range(150)]
-    from test_queries import windows_removed
+    from test_corpus_queries import windows_removed
 
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(bytes(x.kept)).hexdigest()) for x in substring_exact.remove_spans(substring_exact.repeated_spans(df)).collect()}
@@ -242,7 +242,7 @@ def test_bloom_filter_has_no_false_negatives():
 
 
 def test_quality_rules(spark, docs, none, labels):
-    from test_queries import base_stats
+    from test_corpus_queries import base_stats
 
     got = quality.judge(docs, labels).collect()
     assert sorted((r.doc_id for r in got), key=lambda v: (v is not None, v)) == ALL
