@@ -19,7 +19,7 @@ from .common import _GOLD, LOWER, batches, identified, kept_rows, mix, span_hash
 
 #: Labelled documents that training reads at most, for either label, and the bytes of the longest text among them.
 SAMPLE_DOCS = 2400
-SAMPLE_TEXT_BYTES = 1 << 16
+SAMPLE_TEXT_BYTES = 1 << 14
 
 _U = np.uint64
 #: ASCII that ends a word besides white space; other marks stay, as part of a disguised spelling.
@@ -96,17 +96,27 @@ class SubwordSoftmax:
     def bags(self, raw: np.ndarray, at: np.ndarray) -> Bags:
         return Bags(raw, at, self.window, self.buckets, self.sizes)
 
-    def fit(self, raw: np.ndarray, at: np.ndarray, labels: np.ndarray, epochs: int = 10, rate: float = 4.0, batch: int = 512, seed: int = 5, steps: int = 600, noisy: float = 0.2) -> "SubwordSoftmax":
+    def fit(self, raw: np.ndarray, at: np.ndarray, labels: np.ndarray, epochs: int = 10, rate: float = 4.0, longest: float = 0.5, batch: int = 512, seed: int = 5, steps: int = 600, noisy: float = 0.2, patience: int = 6, clean_weight: float = 1.0) -> "SubwordSoftmax":
+        """Joint training of vectors and softmax.
+
+        A vector's step is its gradient times a rate that falls to nought, cut at the length ``longest``; the softmax takes AdaGrad steps.  After
+        each epoch the documents of the tuning fold are ranked; the best epoch's parameters stay, and ``patience`` epochs without a better one end training.
+        ``clean_weight`` is how many clean texts of the corpus a clean text stands for when the cut is set, if a toxic one stands for one.
+        """
         b = self.bags(raw, at)
         rng = np.random.default_rng(seed)
         y = labels[b.doc].astype(np.int64)
-        tuned = rng.random(len(labels)) < 0.25  # these set the cut alone, which would be too bold on texts learnt by heart
+        tuned = rng.random(len(labels)) < 0.25  # these choose the epoch and the cut, which would be too bold on texts learnt by heart
         if not (labels[tuned].any() and labels[~tuned].any()) or labels[tuned].all() or labels[~tuned].all():
             tuned[:] = False
+        judged = tuned if tuned.any() else ~tuned
         learnt = ~tuned[b.doc]
         epochs = max(epochs, -(-steps * batch // max(1, len(b.doc))))
         n_grams = np.diff(b.gram_at)
+        seen = [np.full(self.weights.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)]
+        best, kept, since = (-np.inf, -np.inf), self._parameters(), 0
         for epoch in range(epochs):
+            pace = rate * (1 - epoch / epochs)
             if epoch < noisy * epochs:
                 use = np.flatnonzero(learnt)
             else:
@@ -133,15 +143,35 @@ class SubwordSoftmax:
                 weight /= weight.mean()
                 d = (p - np.eye(2, dtype=np.float32)[y[part]]) * weight[:, None]
                 dmean = d @ self.weights.T / total[:, None]
-                self.weights -= 0.1 * rate / len(part) * (mean.T @ d)
-                self.bias -= 0.1 * rate / len(part) * d.sum(0)
                 hit, back = np.unique(grams, return_inverse=True)
                 grad = np.stack([np.bincount(back, dmean[of, k], len(hit)) for k in range(self.dim)], 1).astype(np.float32)
-                self.vectors[hit] -= rate * grad
-        margins = self.margins(b, len(labels))
-        self._calibrate(margins[tuned], labels[tuned]) if tuned.any() else self._calibrate(margins, labels)
+                for value, sums, g in ((self.weights, seen[0], mean.T @ d), (self.bias, seen[1], d.sum(0))):
+                    sums += g * g
+                    value -= 0.03 * g / np.sqrt(sums)
+                move = pace * grad
+                self.vectors[hit] -= move / np.maximum(1, np.sqrt((move * move).sum(1)) / longest)[:, None]
+            now = self._quality(self.margins(b, len(labels))[judged], labels[judged])
+            since += 1
+            if now > best:
+                best, kept, since = now, self._parameters(), 0
+            elif since >= patience and epoch >= noisy * epochs:
+                break
+        self.vectors, self.weights, self.bias = kept
+        self._calibrate(self.margins(b, len(labels))[judged], labels[judged], clean_weight)
         return self
 
+    def _parameters(self):
+        return self.vectors.copy(), self.weights.copy(), self.bias.copy()
+
+    @staticmethod
+    def _quality(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+        """Share of pairs of a toxic and a clean text in the right order, ties by halves; then the distance of their means in deviations."""
+        if not np.isfinite(margins).all():
+            return -np.inf, -np.inf
+        x, y = np.sort(margins[labels == 0]), margins[labels == 1]
+        order = float((np.searchsorted(x, y, "left") + np.searchsorted(x, y, "right")).mean() / 2 / max(1, len(x)))
+        return order, float((y.mean() - x.mean()) / (margins.std() + 1e-12))
+
     def _tops(self, b: Bags, labels: np.ndarray) -> np.ndarray:
         margins, best = self._windows(b), np.full(len(labels), -np.inf)
         np.maximum.at(best, b.doc, margins)
@@ -163,14 +193,13 @@ class SubwordSoftmax:
         out[np.isinf(out)] = min(float(self.bias[1] - self.bias[0]), -self.shift / max(self.scale, 1e-9) - 1.0)
         return out
 
-    def _calibrate(self, margins: np.ndarray, labels: np.ndarray) -> None:
+    def _calibrate(self, margins: np.ndarray, labels: np.ndarray, clean_weight: float) -> None:
         if not labels.any() or labels.all():
             return
-        # the cut of least cost, in the middle of its gap, becomes one half
+        # the cut of least cost at the corpus' share of toxic texts, in the middle of its gap, becomes one half; a clean text called toxic costs as much as two toxic ones missed
         order = np.argsort(margins, kind="stable")
         x, y = margins[order], labels[order]
-        # a clean text called toxic costs as much as two toxic ones missed
-        errors = np.concatenate([[0], np.cumsum(y)]) + 2 * np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
+        errors = np.concatenate([[0], np.cumsum(y)]) + 2 * clean_weight * np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
         best = np.flatnonzero(errors == errors.min())
         k = int(best[len(best) // 2])
         lo, hi = x[max(k - 1, 0)], x[min(k, len(x) - 1)]
@@ -209,7 +238,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     if not len(y) or not y.any() or y.all():
         model.bias[0] = 10.0
         return model
-    return model.fit(raw, at, y)
+    counts = {r.label: r.n for r in known.where("label IN (0, 1)").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return model.fit(raw, at, y, clean_weight=counts[0] / counts[1] / max(1e-9, (len(y) - y.sum()) / y.sum()))
 
 
 def score_toxicity(docs: DataFrame, model: SubwordSoftmax, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
