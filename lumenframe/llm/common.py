@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -48,11 +50,41 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_end(spark: SparkSession):
+    """Within, an execution's shuffle files go when it ends, not when the driver's garbage happens to be collected."""
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends here, and lost executors cost no recomputation."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    with shuffles_end(spark):
+        df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a path in whichever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and nothing will read again."""
+    for t in tables:
+        delete(t.sparkSession, t.scratch_path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -60,8 +92,21 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: Bytes of rows that go to a Python worker, and come back, in one Arrow batch.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to ``BATCH_BYTES``, so a worker's memory hangs on no number of rows; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = re.fullmatch(r"(\d+)b?", spark.conf.get(key, "64m"))
+    if not held or not 0 < int(held[1]) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just (doc_id, text): other columns, whatever their names, play no part."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
@@ -180,7 +225,7 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, width: int) -> tuple[
     return out, out_at
 
 
-def batches(it, limit: int = 8 << 20, column: int = -1):
+def batches(it, limit: int = 2 << 20, column: int = -1):
     """Arrow batches cut so that each has at most about ``limit`` bytes of one column, the last by default, or one row."""
     for b in it:
         if not b.num_rows:
@@ -199,23 +244,14 @@ def batches(it, limit: int = 8 << 20, column: int = -1):
 
 def kept_rows(docs: DataFrame, text_col: str, prepare) -> DataFrame:
     """Rows of docs, all columns, whose text a judge keeps; ``prepare()`` makes the judge once a task: (bytes, offsets) -> mask."""
+    bounded_batches(docs.sparkSession)
     k = docs.columns.index(text_col)
 
     def run(it):
         judge = prepare()
         for whole in it:
-            for b in batches([whole], 8 << 20, k):
+            for b in batches([whole], 2 << 20, k):
                 yield b.filter(pa.array(judge(*string_bytes(b.column(k)))))
 
     return docs.mapInArrow(run, docs.schema)
 
-
-def trim() -> None:
-    """Gives a worker's freed memory back to the system: large arrays of mixed sizes leave the allocator's heap full of holes."""
-    import ctypes
-
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except AttributeError:  # not glibc
-        pass

@@ -123,3 +123,19 @@ def test_pipeline_stages(spark, sf_dir, docs):
         if name == "token_output":
             assert out.count() == now.count() and out.agg({"start": "min"}).first()[0] == 0
         now = out
+
+
+@pytest.mark.parametrize("threshold,gram,settle", [(33, 16, 1 << 20), (40, 16, 1 << 20), (47, 8, 1 << 20), (50, 16, 1 << 20), (50, 16, 1500), (21, 9, 4000), (130, 16, 3000)])
+def test_repeated_windows_at_any_threshold(spark, threshold, gram, settle):
+    """Few letters, shared pieces and a common gram in ever other surroundings: runs are cut, minimisers are hot, ranges are dealt again."""
+    import random
+
+    from lumenframe.llm import substring_exact
+
+    r = random.Random(threshold + settle)
+    letters = lambda n, of="ab": "".join(r.choice(of) for _ in range(n))
+    pool = [letters(r.randint(20, 160), "abcdef") for _ in range(12)] + ["a" * 200, "xyz" * 60, "é日" * 30]
+    texts = {k: "".join(r.choice([r.choice(pool), letters(r.randint(1, 40)), letters(16, "q") + letters(30, "abcdefgh")]) for _ in range(r.randint(0, 14))) for k in range(60)}
+    found = substring_exact.repeated_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5), threshold=threshold, gram=gram, settle_bytes=settle)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(x.kept).hexdigest()) for x in substring_exact.remove_spans(found).collect()}
+    assert got == windows_removed(texts, threshold)
