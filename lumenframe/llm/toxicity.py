@@ -21,6 +21,8 @@ from .common import _GOLD, LOWER, batches, identified, kept_rows, mix, span_hash
 SAMPLE_DOCS = 2400
 SAMPLE_TEXT_BYTES = 1 << 14
 
+#: Distinct words whose n-grams are made at once.
+WORDS = 1 << 14
 _U = np.uint64
 #: ASCII that ends a word besides white space; other marks stay, as part of a disguised spelling.
 _APART = np.zeros(256, bool)
@@ -43,12 +45,18 @@ class Bags:
         of_text = np.searchsorted(starts, at)
         n = np.diff(of_text)
         h = span_hashes(raw, starts, ends)
-        _, first, self.word = np.unique(h, return_index=True, return_inverse=True)
-        data = raw.tobytes()
-        chars = np.frombuffer(b"".join([b"<%s>" % data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]).decode("utf-8", "replace").encode("utf-32-le"), "<u4").astype(np.uint64)
-        lengths = np.array([len(data[a:b].decode("utf-8", "replace")) + 2 for a, b in zip(starts[first].tolist(), ends[first].tolist())], np.int64)
-        opens = np.cumsum(lengths) - lengths
-        self.gram_at, self.gram = _grams(chars, opens, lengths, buckets, sizes)
+        _, first, word = np.unique(h, return_index=True, return_inverse=True)
+        self.word = word.astype(np.int32)
+        data, n_grams, grams = raw.tobytes(), [], []
+        for i in range(0, len(first), WORDS):  # some distinct words at a time: their n-grams' hashes are much larger than what is kept
+            words = [data[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[i : i + WORDS]].tolist(), ends[first[i : i + WORDS]].tolist())]
+            chars = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
+            lengths = np.array([len(w) + 2 for w in words], np.int64)
+            k, g = _grams(chars, np.cumsum(lengths) - lengths, lengths, buckets, sizes)
+            n_grams.append(k)
+            grams.append(g)
+        self.gram_at = np.concatenate([[0], np.cumsum(np.concatenate([*n_grams, np.zeros(0, np.int64)]))])
+        self.gram = np.concatenate([*grams, np.array([buckets], np.int32)])  # ends in a bucket that counts nothing
         # the last window of a text takes what is left, at least half a window unless it is the only one
         k = np.maximum(1, (n + window // 2) // window) * (n > 0)
         self.doc = np.repeat(np.arange(len(n)), k)
@@ -58,9 +66,7 @@ class Bags:
 
 
 def _grams(chars, opens, lengths, buckets, sizes):
-    """CSR of each word's n-gram buckets: n-grams of all sizes, then the whole word."""
-    if not len(opens):
-        return np.zeros(1, np.int64), np.zeros(0, np.int64)
+    """Each word's number of n-grams, and their buckets: n-grams of all sizes, then the whole word."""
     word = np.repeat(np.arange(len(opens)), lengths)
     left = np.repeat(opens + lengths, lengths) - np.arange(len(chars))  # characters to the word's end
     words, hashes = [], []
@@ -77,7 +83,7 @@ def _grams(chars, opens, lengths, buckets, sizes):
     hashes.append(mix(whole))
     w = np.concatenate(words)
     order = np.argsort(w, kind="stable")
-    return np.concatenate([[0], np.cumsum(np.bincount(w, minlength=len(opens)))]), (np.concatenate(hashes)[order] % _U(buckets)).astype(np.int64)
+    return np.bincount(w, minlength=len(opens)), (np.concatenate(hashes)[order] % _U(buckets)).astype(np.int32)
 
 
 class SubwordSoftmax:
@@ -181,7 +187,7 @@ class SubwordSoftmax:
         """Each window's margin: the softmax is linear in the mean, so a word counts by a number of its own."""
         u = np.append(self.vectors @ (self.weights[:, 1] - self.weights[:, 0]), 0.0).astype(np.float64)
         n = np.diff(b.gram_at)
-        value = np.add.reduceat(u[np.append(b.gram, self.buckets)], b.gram_at[:-1]) if len(n) else np.zeros(0)
+        value = np.add.reduceat(u[b.gram], b.gram_at[:-1]) if len(n) else np.zeros(0)
         values = np.concatenate([[0.0], np.cumsum(value[b.word])]) if len(n) else np.zeros(1)
         counts = np.concatenate([[0], np.cumsum(n[b.word])]) if len(n) else np.zeros(1)
         return (values[b.stop] - values[b.start]) / np.maximum(1, counts[b.stop] - counts[b.start]) + float(self.bias[1] - self.bias[0])
@@ -247,7 +253,7 @@ def score_toxicity(docs: DataFrame, model: SubwordSoftmax, *, id_col: str = "doc
     kept = docs.sparkSession.sparkContext.broadcast(model)  # of a size that the sample doesn't change
 
     def run(it):
-        for b in batches(it, 4 << 20):
+        for b in batches(it):
             raw, at = string_bytes(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept.value.scores(raw, at))], ["doc_id", "score"])
 
