@@ -1,21 +1,24 @@
 """Line dedup: hashes in key order, per-document keep bitmaps as the result.
 
-Lines' hashes are range-partitioned with documents as the secondary key, so that even a
-line that a third of all documents hold spreads over many ranges.  Each key's
-document count and kept document come from a partially aggregated pass over the
-sorted runs.  What returns to a document is a compressed bitmap of the lines it
-keeps: only the 64-line words with a dropped line are stored.
+Lines' hashes are range-partitioned with document and position as the secondary sort key, and windows that stream over the
+sorted ranges tell each key's documents and the one that keeps its lines.  Keys with so large a share of all lines that there can be but
+few of them don't travel: their totals are gathered from partial aggregates and broadcast.  What returns to a document is a compressed
+bitmap of the lines it keeps: only the 64-line words with a dropped line are stored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import identified, written
+from .common import discard, identified, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANK = " \t\n\x0b\x0c\r"
+#: A key with one in so many of all lines is heavy: there can't be more heavy keys than this, of 40 bytes each.
+HEAVY = 20_000
+#: Rows of a heavy key at least.
+LEAST_ROWS = 1024
 
 
 def line_key(line: Column) -> Column:
@@ -47,15 +50,24 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc_id", "text_hash", "pos")
     )
     lines = written(lines, "lines")  # texts are read once; the passes below read hashes
-    runs = lines.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "text_hash", "pos")
-    held = runs.groupBy("h1", "h2", "doc_id").agg(F.collect_set(F.struct("text_hash", "pos")).alias("places"))
     one = F.max if keep == "last" else F.min
-    keys = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), one("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs).drop("n_docs")
-    lost = held.join(keys, ["h1", "h2"]).where("doc_id <> keeper").select("doc_id", F.explode("places").alias("p")).select("doc_id", "p.text_hash", "p.pos")
+    least = max(LEAST_ROWS, -(-lines.count() // HEAVY))
+    heavy = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("h1", "h2")
+    held = lines.join(F.broadcast(heavy), ["h1", "h2"]).select("h1", "h2", "doc_id").distinct()
+    totals = written(held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), one("doc_id").alias("keeper")), "heavy-lines")
+    marked = lines.join(F.broadcast(totals), ["h1", "h2"], "left")
+    spread = marked.where("keeper IS NOT NULL").select("doc_id", "text_hash", "pos", "n_docs", "keeper")
+    # all others of one key lie in one range, sorted by document and position
+    runs = marked.where("keeper IS NULL").select("h1", "h2", "doc_id", "text_hash", "pos").repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id", "text_hash", "pos")
+    key = Window.partitionBy("h1", "h2")
+    first = F.coalesce(F.col("doc_id") != F.lag("doc_id").over(key.orderBy("doc_id", "text_hash", "pos")), F.lit(True))
+    runs = runs.withColumn("first", first.cast("long")).withColumn("n_docs", F.sum("first").over(key)).withColumn("keeper", one("doc_id").over(key))
+    lost = spread.unionByName(runs.select("doc_id", "text_hash", "pos", "n_docs", "keeper")).where((F.col("n_docs") >= min_docs) & (F.col("doc_id") != F.col("keeper"))).select("doc_id", "text_hash", "pos")
     words = lost.groupBy("doc_id", "text_hash", F.expr("pos div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
-    return words.groupBy("doc_id", "text_hash").agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"), F.sum(F.bit_count("bits")).cast("long").alias("n_dropped")
-    )
+    bitmaps = words.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"), F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"))
+    bitmaps = written(bitmaps, "bitmaps")
+    discard(lines, totals)
+    return bitmaps
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, batches, identified, mix, partitions, seeded, shingle_hashes, string_bytes, word_hashes, written
+from .common import LOWER, batches, discard, identified, mix, partitions, seeded, shingle_hashes, string_bytes, word_hashes, written
 from .graph import components
 
-#: Ids up to which a semi-join's list may be broadcast (8 bytes each).
-BROADCAST_IDS = 1 << 18
+#: Bytes, as JVM rows, of a list of documents that may be broadcast; a longer one is joined by id.
+BROADCAST_BYTES = 8 << 20
 #: Rows of one hub's partners in one sorted group; larger groups are dealt over salts.
 GROUP_ROWS = 512
 
@@ -71,7 +71,7 @@ def _shipped(width: int):
     """Texts with hubs -> a row (hub, salt, first, member, set) for each hub, and for a hub itself a row ahead of each salt."""
 
     def run(it):
-        for b in batches(it, 4 << 20):
+        for b in batches(it):
             sets, at = document_sets(*string_bytes(b.column(b.num_columns - 1)), width)
             ids, hubs, salts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
             rows: list[list] = [[], [], [], [], []]
@@ -86,7 +86,7 @@ def _shipped(width: int):
                     for col, v in zip(rows, (doc, s, 0, doc, blob)):
                         col.append(v)
                     size += len(blob)
-                if size > 8 << 20:
+                if size > 2 << 20:
                     yield _ship(rows)
                     rows, size = [[], [], [], [], []], 0
             if rows[0]:
@@ -99,7 +99,7 @@ def _ship(rows):
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.binary())], ["hub", "salt", "first", "member", "hashes"])
 
 
-_COMPARED = "hub long, member long, hub_n long, n long, common long, edits array<long>"
+_COMPARED = "hub long, salt int, member long, hub_n long, n long, common long, edits array<long>"
 
 
 def _compared(edits: bool):
@@ -125,9 +125,9 @@ def _compared(edits: bool):
                     diff = np.concatenate([mix(held[lost] + _U(1)), own[~shared]]).astype(np.int64)
                 else:
                     diff = np.zeros(0, np.int64)
-                for col, v in zip(out, (h, m, len(held), len(own), common, diff)):
+                for col, v in zip(out, (h, s, m, len(held), len(own), common, diff)):
                     col.append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:5]), pa.array(out[5], pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(out[:6])), pa.array(out[6], pa.list_(pa.int64()))], names)
 
     return run
 
@@ -144,7 +144,8 @@ def compare(docs: DataFrame, pairs: DataFrame, width: int, edits: bool = False)
     mine = tasks.groupBy(F.col("member").alias("doc_id")).agg(F.collect_list(F.struct("hub", "salt")).alias("hubs"))
     plan = mine.join(sizes.withColumnRenamed("hub", "doc_id"), "doc_id", "full_outer")
     plan = written(plan, "near-plan")
-    few = plan.count() <= BROADCAST_IDS // 4
+    size = plan.agg(F.sum(F.lit(48) + 32 * F.coalesce(F.size("hubs"), F.lit(0)))).first()[0] or 0
+    few = size <= BROADCAST_BYTES
     texts = docs.join(F.broadcast(plan) if few else plan, "doc_id").select("doc_id", "hubs", "salts", "text")
     shipped = texts.mapInArrow(_shipped(width), "hub long, salt int, first int, member long, hashes binary")
     dealt = shipped.repartition(partitions(spark), "hub", "salt").sortWithinPartitions("hub", "salt", "first")
@@ -161,30 +162,40 @@ def open_pairs(compared: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     y's, in any common order; in order of rarity among the hub's partners few do by chance.  As need depends on both, weights are
     cut into levels: an edit is listed under its own member's level and each level of the other for which it comes early enough.
     """
+    # what is known of a hub goes to each of its salts, so no hub's partners meet in one task
+    salts = compared.groupBy("hub").agg(F.explode(F.sequence(F.lit(0), F.max("salt"))).alias("salt"))
     c = comp.select("node", "component")
-    rows = compared.join(c.select(F.col("node").alias("hub"), F.col("component").alias("hub_comp")), "hub", "left").withColumn("hub_comp", F.coalesce("hub_comp", "hub"))
+    hub_comps = salts.join(c.select(F.col("node").alias("hub"), F.col("component").alias("hub_comp")), "hub")
+    rows = compared.join(hub_comps, ["hub", "salt"], "left").withColumn("hub_comp", F.coalesce("hub_comp", "hub"))
     rows = rows.join(c.select(F.col("node").alias("member"), F.col("component").alias("comp")), "member", "left").withColumn("comp", F.coalesce("comp", "member"))
-    away = rows.where("comp <> hub_comp").select("hub").distinct()
     share = percent / (100 + percent)
     # weights above that of the hub itself, in steps of a 32nd of the hub's size
-    rows = rows.join(away, "hub", "left_semi").withColumn("weight", F.expr(f"{share!r}D * (n - hub_n) + (hub_n - common)")).withColumn("step", F.expr("greatest(1D, hub_n / 32D)"))
+    rows = rows.withColumn("weight", F.expr(f"{share!r}D * (n - hub_n) + (hub_n - common)")).withColumn("step", F.expr("greatest(1D, hub_n / 32D)"))
     rows = rows.withColumn("level", F.expr("cast(least(12D, floor(weight / step + 1e-9)) as int)")).withColumn("size", F.size("edits"))
     # need(b) = weight + b * step - (1 - 2 * share) * hub_n for the lower end of level b
     rows = rows.withColumn("slack", F.expr(f"size + 1 - weight + {1 - 2 * share!r}D * hub_n + 1e-6"))
-    rows = written(rows.select("hub", "member", "n", "comp", "hub_comp", "level", "slack", "step", "size", F.explode("edits").alias("edit")), "near-edits")
-    rare = rows.groupBy("hub", "edit").agg(F.count(F.lit(1)).alias("df"))
-    place = F.row_number().over(Window.partitionBy("hub", "member").orderBy("df", "edit"))
-    heads = rows.join(rare, ["hub", "edit"]).withColumn("place", place).where("df > 1 AND place <= slack")
-    # only levels that some member of the hub has, and of these, for members in the hub's component, only levels of the others
-    levels = rows.select("hub", "member", "level", "comp", "hub_comp").distinct().groupBy("hub").agg(F.collect_set("level").alias("all_levels"), F.collect_set(F.when(F.col("comp") != F.col("hub_comp"), F.col("level"))).alias("away_levels"))
-    heads = heads.withColumn("top", F.expr("least(12D, floor((slack - place) / step))")).join(levels, "hub")
+    rows = written(rows.drop("weight", "hub_n", "common"), "near-rows")
+    # levels that some member of the hub has, and those of members outside the hub's component, without which a hub has no open pairs
+    levels = rows.groupBy("hub").agg(F.collect_set("level").alias("all_levels"), F.collect_set(F.when(F.col("comp") != F.col("hub_comp"), F.col("level"))).alias("away_levels"))
+    levels = salts.join(levels.where(F.size("away_levels") > 0), "hub")
+    edits = rows.join(levels, ["hub", "salt"]).select("hub", "salt", "member", "n", "comp", "hub_comp", "level", "slack", "step", "all_levels", "away_levels", F.explode("edits").alias("edit"))
+    edits = written(edits, "near-edits")
+    part = edits.groupBy("hub", "salt", "edit").agg(F.count(F.lit(1)).alias("k"))
+    rare = part.join(part.groupBy("hub", "edit").agg(F.sum("k").alias("df")).where("df > 1"), ["hub", "edit"]).drop("k")
+    # edits that no other partner has come first in order of rarity; they only move the others' places
+    place = F.row_number().over(Window.partitionBy("hub", "salt", "member").orderBy("df", "edit"))
+    heads = edits.join(rare, ["hub", "salt", "edit"], "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("place", place).where("df > 1 AND place <= slack")
+    heads = heads.withColumn("top", F.expr("least(12D, floor((slack - place) / step))"))
     others = F.expr("filter(CASE WHEN comp <> hub_comp THEN all_levels ELSE away_levels END, b -> b <= top)")
     heads = heads.select("hub", "edit", "member", "n", "comp", "hub_comp", "level", F.explode(others).alias("other"))
     heads = written(heads, "near-heads")
+    discard(rows, edits)
     x = heads.where("comp <> hub_comp").select("hub", "edit", F.col("level").alias("lx"), F.col("other").alias("ly"), F.col("member").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
     y = heads.select("hub", "edit", F.col("other").alias("lx"), F.col("level").alias("ly"), "member", "n", "comp")
     both = x.join(y, ["hub", "edit", "lx", "ly"]).where("x <> member AND x_comp <> comp").where(f"100 * least(n, x_n) >= {percent} * greatest(n, x_n)")
-    return both.select(F.least("x", "member").alias("hub"), F.greatest("x", "member").alias("member")).distinct()
+    pairs = written(both.select(F.least("x", "member").alias("hub"), F.greatest("x", "member").alias("member")).distinct(), "near-cross")
+    discard(heads)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, halves: int = 14, rows: int = 3, seed: int = 41) -> DataFrame:
@@ -210,18 +221,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     hits = written(keys.join(counts, "key"), "near-hits")
     degrees = hits.groupBy("rep").agg(F.sum(F.col("c") - 1).alias("degree"))
-    hits = hits.join(degrees, "rep")
-    hubs = hits.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("m")).select("key", (-F.col("m.r")).alias("hub"))
+    ranked = hits.join(degrees, "rep")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("m")).select("key", (-F.col("m.r")).alias("hub"))
     stars = written(hits.join(hubs, "key").where("rep <> hub").select("hub", F.col("rep").alias("member")).distinct(), "near-stars")
     linked = f"100 * common >= {percent} * (hub_n + n - common)"
     compared = written(compare(d, stars, width, edits=True), "near-compared")
     links = compared.where(linked).select(F.col("hub").alias("a"), F.col("member").alias("b"))
     comp = components(links)
-    cross = written(open_pairs(compared, comp, percent), "near-cross")
+    cross = open_pairs(compared, comp, percent)
     if not cross.isEmpty():
         more = written(compare(d, cross, width).where(linked).select(F.col("hub").alias("a"), F.col("member").alias("b")), "near-links")
         if not more.isEmpty():
             comp = components(links.unionByName(more))
+        discard(more)
+    discard(reps, keys, hits, stars, compared, cross)
     final = classes.join(comp, classes["rep"] == comp["node"], "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = sketches.join(final, ["f1", "f2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).cast("long").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -230,7 +243,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **kw) -> DataFrame:
     """docs without those that nearly repeat a document with a smaller id; all columns stay."""
     gone = written(near_duplicates(docs, id_col=id_col, **kw).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "near-gone")
-    few = gone.count() <= BROADCAST_IDS
+    few = 32 * gone.count() <= BROADCAST_BYTES
     return docs.join(F.broadcast(gone) if few else gone, F.col(f"`{id_col}`").cast("long") == F.col("gone"), "left_anti")
 
 
