@@ -10,6 +10,8 @@ label, later of a toxic document only its most toxic one.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -237,15 +239,28 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     d = identified(docs, id_col, text_col).where(F.octet_length("text") <= text_bytes).join(F.broadcast(sample), "doc_id")
     d = d.dropDuplicates(["doc_id", "text"])
     texts = [d.where(F.col("label") == k).orderBy("r", F.xxhash64("text")).limit(sample_docs) for k in (0, 1)]
-    rows = sorted(((r.r, r.label, r.text) for r in texts[0].unionByName(texts[1]).collect()), key=lambda r: (r[0], r[1], r[2]))
-    raw, at = string_bytes(pa.array([r[2] for r in rows], pa.string()))
-    y = np.array([r[1] for r in rows], np.int64)
-    model = SubwordSoftmax(**kw)
-    if not len(y) or not y.any() or y.all():
+    counts = {r.label: r.n for r in known.where("label IN (0, 1)").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    odds = counts.get(0, 0) / max(1, counts.get(1, 0))
+
+    def train(it):
+        """The one task that has the sample: neither it nor what training needs comes to the driver, just the model."""
+        rows = sorted((x for b in it for x in zip(*(b.column(k).to_pylist() for k in range(3)))), key=lambda x: (x[0], x[1], x[2]))
+        raw, at = string_bytes(pa.array([x[2] for x in rows], pa.string()))
+        y = np.array([x[1] for x in rows], np.int64)
+        model = SubwordSoftmax(**kw)
+        if not len(y) or not y.any() or y.all():
+            model.bias[0] = 10.0  # nothing to learn from
+        else:
+            model.fit(raw, at, y, clean_weight=odds / max(1e-9, (len(y) - y.sum()) / y.sum()))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    sample = texts[0].unionByName(texts[1]).select("r", "label", "text").coalesce(1)
+    found = sample.mapInArrow(train, "model binary").first()
+    if found is None:  # an empty sample may have no task at all
+        model = SubwordSoftmax(**kw)
         model.bias[0] = 10.0
         return model
-    counts = {r.label: r.n for r in known.where("label IN (0, 1)").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return model.fit(raw, at, y, clean_weight=counts[0] / counts[1] / max(1e-9, (len(y) - y.sum()) / y.sum()))
+    return pickle.loads(found.model)
 
 
 def score_toxicity(docs: DataFrame, model: SubwordSoftmax, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
