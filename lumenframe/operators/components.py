@@ -57,14 +57,17 @@ def area_filter(events: DataFrame, area: int) -> DataFrame:
     return events.where(F.col("area") > area)
 
 
-def dose_rate(events: DataFrame, geom: Geometry) -> DataFrame:
-    """(frame_id, n_events, rate): events for each pixel of a frame."""
-    return events.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n_events")).withColumn("rate", F.col("n_events") / F.lit(float(geom.pixels)))
+def dose_rate(events: DataFrame, geom: Geometry, frames: DataFrame) -> DataFrame:
+    """(frame_id, n_events, rate): events for each pixel of each of ``frames``; a frame without events has noughts."""
+    found = events.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"))
+    every = frames.select(F.col("frame_id").cast("long").alias("frame_id")).where("frame_id IS NOT NULL").distinct()
+    counted = every.join(found, "frame_id", "left").select("frame_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_events"))
+    return counted.withColumn("rate", F.col("n_events") / F.lit(float(geom.pixels)))
 
 
-def mean_dose(rates: DataFrame, first: int = 100) -> DataFrame:
-    """Average rate of the first frames, and the events to expect over all of them."""
-    return rates.where(F.col("frame_id") < first).agg(F.avg("rate").alias("rate"), F.count(F.lit(1)).alias("frames")).withColumn("n_events", F.floor(F.col("frames") * F.col("rate")))
+def mean_dose(rates: DataFrame, n_frames: int, first: int = 100) -> DataFrame:
+    """(rate, frames, n_events): average rate of the first frames, those without events included, and the events to expect in the run's ``n_frames`` at one a pixel."""
+    return rates.where(F.col("frame_id") < first).agg(F.avg("rate").alias("rate"), F.count(F.lit(1)).alias("frames")).withColumn("n_events", F.floor(F.lit(n_frames) * F.col("rate")))
 
 
 def unmatched(left: DataFrame, right: DataFrame, reach: int = 1) -> DataFrame:

@@ -108,9 +108,18 @@ def area_filter(spark, d):
     return components.area_filter(_events(spark, d), 2).groupBy("frame_id").agg(F.count(F.lit(1)).alias("n_events"), F.max("area").alias("max_area"))
 
 
-@query("SELECT frame_id, count(*) AS n_events, count(*) / 4096.0::DOUBLE AS rate FROM ev GROUP BY 1", BASE + EVENTS)
+def _run_frames(spark, d):
+    """The frames and, after them, two that have nothing."""
+    f = raw_frames(spark, d).select("frame_id")
+    return f.unionByName(f.agg(F.max("frame_id").alias("m")).select(F.explode(F.array(F.col("m") + 1, F.col("m") + 2)).alias("frame_id")))
+
+
+_RUN = ", run AS (SELECT frame_id FROM fr UNION ALL SELECT max(frame_id) + k FROM fr, (SELECT unnest([1, 2]) AS k) GROUP BY k), dose AS (SELECT run.frame_id, count(ev.lab) AS n_events FROM run LEFT JOIN ev USING (frame_id) GROUP BY 1)"
+
+
+@query("SELECT frame_id, n_events, n_events / 4096.0::DOUBLE AS rate FROM dose", BASE + EVENTS + _RUN)
 def dose_rate(spark, d):
-    return components.dose_rate(_events(spark, d), GEOM)
+    return components.dose_rate(_events(spark, d), GEOM, _run_frames(spark, d))
 
 
 @query(
@@ -121,12 +130,26 @@ def border_dropped_events(spark, d):
     return frames.events(raw_frames(spark, d), _dark(spark), EPS, GEOM, border="drop").groupBy("frame_id").agg(F.count(F.lit(1)).alias("n_events"))
 
 
-@query("SELECT avg(n) / 4096.0::DOUBLE AS rate FROM (SELECT count(*) AS n FROM ev WHERE frame_id < 100 GROUP BY frame_id)", BASE + EVENTS)
+@query(
+    "SELECT round(avg(n_events / 4096.0::DOUBLE), 12) AS rate, count(*) AS frames, floor((SELECT count(*) FROM run) * avg(n_events / 4096.0::DOUBLE))::BIGINT AS n_events FROM dose WHERE frame_id >= (SELECT max(frame_id) - 99 FROM run)",
+    BASE + EVENTS + _RUN,
+)
 def mean_dose(spark, d):
-    return components.mean_dose(components.dose_rate(_events(spark, d), GEOM)).select(F.round("rate", 12).alias("rate"))
+    """Over the last hundred frames, two of them empty, numbered from nought."""
+    rates = components.dose_rate(_events(spark, d), GEOM, _run_frames(spark, d))
+    n, last = rates.agg(F.count(F.lit(1)), F.max("frame_id")).first()
+    late = rates.where(F.col("frame_id") >= last - 99).withColumn("frame_id", F.col("frame_id") - (last - 99))
+    return components.mean_dose(late, n).select(F.round("rate", 12).alias("rate"), "frames", "n_events")
+
+
+@query(
+    "SELECT v.frame_id, count(ev.lab) AS n_events, count(ev.lab) / 1024.0::DOUBLE AS rate FROM (SELECT frame_id FROM fr WHERE frame_id % 10 = 0) v LEFT JOIN ev USING (frame_id) GROUP BY 1",
+    BASE.replace("WHERE r.adu > d.t + 400)", "WHERE r.adu > d.t + 400 AND r.y BETWEEN 16 AND 47 AND r.x BETWEEN 16 AND 47)") + EVENTS,
+)
+def validation_dose(spark, d):
+    return chunks.validation_dose(raw_frames(spark, d), _dark(spark), EPS, GEOM, 10, 32)
 
 
-ORACLES["mean_dose"] = ORACLES["mean_dose"].replace("avg(n) / 4096.0::DOUBLE AS rate", "round(avg(n / 4096.0::DOUBLE), 12) AS rate")
 _ROIS = [(1, 8, 8, 20, 20), (2, 0, 32, 64, 16), (3, 30, 30, 4, 30)]
 
 
@@ -184,9 +207,9 @@ def topk_midpoint(spark, d):
     return calibration.topk_midpoint(_l1(spark, d), 3).withColumn("t", F.col("t").cast("double"))
 
 
-@query("SELECT frame_id, y, x, (adu - median(adu) OVER (PARTITION BY frame_id, x // 16, x % 2))::DOUBLE AS adu FROM raw WHERE frame_id % 10 = 0")
+@query("SELECT frame_id, y, x, (adu - median(adu) OVER (PARTITION BY frame_id, x // 16, x % 2))::DOUBLE AS adu FROM raw")
 def common_mode(spark, d):
-    return calibration.common_mode(frames.pixels(views.every_nth(raw_frames(spark, d), 10), GEOM), 16)
+    return calibration.common_mode(raw_frames(spark, d), GEOM, 16)
 
 
 @query("SELECT (frame_id // 10)::INT AS bin, y, x, sum(v)::BIGINT AS sum_v FROM l1 GROUP BY 1, 2, 3")
