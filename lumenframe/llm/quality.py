@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, batches, mix, shingle_hashes, span_hashes, string_bytes, word_hashes, written
+from .common import SPACE, batches, discard, mix, shingle_hashes, span_hashes, string_bytes, word_hashes, written
 
 #: Fixed values of the contract: characters that count as symbols.
 _SYMBOL = np.zeros(256, bool)
@@ -147,6 +147,8 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
     pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"step_{r}").alias("step")) for r in RULES])).alias("p")
     seen = steps.where("NOT base_failed").join(known, "doc_id").select("stratum", "label", pairs).groupBy("stratum", "p.rule", "p.step").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n"))
+    # counted by stratum, rule and step in a table of its own, as the filter below would else be pushed under the counting and deal its rows by stratum
+    seen = written(seen, "quality-counts")
     # a stratum needs enough good texts for its bound to hold at all: that bounds the rows to collect
     least = math.ceil(math.log(1 / delta) / (risk / len(RULES)))
     enough = seen.where("rule = 'symbols'").groupBy("stratum").agg(F.sum("good").alias("g")).where(F.col("g") >= least).select("stratum")
@@ -155,6 +157,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         good, bad = counts.setdefault((r.stratum, r.rule), (np.zeros(GRID + 1, np.int64), np.zeros(GRID + 1, np.int64)))
         good[r.step] += r.good
         bad[r.step] += r.n - r.good
+    discard(seen)
     cut = select_cutoffs(counts, risk, delta)
     strata = sorted({k[0] for k in cut})
     spark = docs.sparkSession
