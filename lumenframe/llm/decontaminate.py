@@ -2,8 +2,8 @@
 
 Texts are normalised bytewise (A-Z lower-cased, every other ASCII character that is no
 digit or letter a separator) into words joined by single spaces.  The automaton
-holds each benchmark item's windows of consecutive words; a text is scanned once, and the
-ends of matches are mapped to word numbers and to byte spans of the original.
+holds each benchmark item's windows of consecutive words, as numbers of words; a text is scanned once, and the
+places of matches are mapped to byte spans of the original.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, identified, kept_rows, string_bytes
+from .common import batches, bounded_batches, discard, identified, kept_rows, string_bytes, written
 
-#: Bytes of benchmark texts that one automaton is built of; larger benchmarks are scanned in blocks of items.
-AUTOMATON_BYTES = 32 << 20
+#: Nodes that one automaton may have, about 50 bytes each; benchmarks of more are scanned in blocks.
+AUTOMATON_NODES = 4 << 20
+#: Windows of one item that stay together; longer items are cut, so that blocks can be dealt evenly.
+PIECE_WINDOWS = 4096
 
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -28,43 +30,46 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TO_WORDS).split()
 
 
-def automaton(items: list[tuple[str, bytes]], width: int) -> ahocorasick.Automaton | None:
-    """Windows of all items; a window's value is its word count and the items that hold it."""
-    windows: dict[str, tuple[int, list[str]]] = {}
-    for ident, text in items:
+class Machine:
+    """The automaton over word numbers: windows of all items, their lengths and the items that hold them.
+
+    Words that no item has are all number 0, which no window holds.
+    """
+
+    def __init__(self, items: list[tuple[str, bytes]], width: int):
+        self.numbers: dict[bytes, int] = {}
+        self.lengths: list[int] = []
+        self.holders: list[list[str]] = []
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for ident, text in items:
+            words = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text))
+            for i in range(max(1, len(words) - width + 1) if words else 0):
+                part = words[i : i + width]
+                k = self.automaton.get(part, -1)
+                if k < 0:
+                    k = len(self.lengths)
+                    self.automaton.add_word(part, k)
+                    self.lengths.append(len(part))
+                    self.holders.append([])
+                if ident not in self.holders[k][-1:]:
+                    self.holders[k].append(ident)
+        if self.lengths:
+            self.automaton.make_automaton()
+
+    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], list[str]]:
+        """Words of the text, merged runs [first, last) of hit words, and the sorted ids of items found."""
         words = words_of(text)
-        for i in range(max(1, len(words) - width + 1) if words else 0):
-            part = words[i : i + width]
-            held = windows.setdefault(f" {b' '.join(part).decode('latin-1')} ", (len(part), []))[1]
-            if not held or held[-1] != ident:
-                held.append(ident)
-    if not windows:
-        return None
-    out = ahocorasick.Automaton()
-    for k, v in windows.items():
-        out.add_word(k, v)
-    out.make_automaton()
-    return out
-
-
-def scan(machine: ahocorasick.Automaton | None, text: bytes) -> tuple[int, list[tuple[int, int]], list[str]]:
-    """Words of the text, merged runs [first, last) of hit words, and the sorted ids of items found."""
-    words = words_of(text)
-    if machine is None or not words:
-        return len(words), [], []
-    flat = f" {b' '.join(words).decode('latin-1')} "
-    found = list(machine.iter(flat))
-    if not found:
-        return len(words), [], []
-    ends = np.cumsum([len(w) + 1 for w in words])  # where, in flat, the space after each word is
-    runs: list[tuple[int, int]] = []
-    spans = sorted((k + 1 - n, k + 1) for k, n in ((int(np.searchsorted(ends, end)), v[0]) for end, v in found))
-    for a, b in spans:
-        if runs and a <= runs[-1][1]:
-            runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
-        else:
-            runs.append((a, b))
-    return len(words), runs, sorted({x for _, (_, ids) in found for x in ids})
+        if not self.lengths or not words:
+            return len(words), [], []
+        number = self.numbers.get
+        found = list(self.automaton.iter(tuple([number(w, 0) for w in words])))
+        runs: list[tuple[int, int]] = []
+        for first, last in sorted((end + 1 - self.lengths[k], end + 1) for end, k in found):
+            if runs and first <= runs[-1][1]:
+                runs[-1] = (runs[-1][0], max(last, runs[-1][1]))
+            else:
+                runs.append((first, last))
+        return len(words), runs, sorted({x for k in {k for _, k in found} for x in self.holders[k]})
 
 
 def byte_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -79,18 +84,18 @@ def byte_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]
 _SCHEMA = "doc_id long, row_hash long, n_words long, runs array<struct<first:long,last:long>>, spans array<struct<first:long,last:long>>, items array<string>"
 
 
-def _scanner(items: list[tuple[str, bytes]], width: int):
+def _scanner(items, width: int):
     types = pa.struct([("first", pa.int64()), ("last", pa.int64())])
 
     def run(it):
-        machine = automaton(items, width)  # built once a task
+        machine = Machine(items.value, width)  # built once a task
         pairs = lambda xs: [{"first": a, "last": b} for a, b in xs]
         for b in batches(it):
             raw, at = string_bytes(b.column(2))
             data, n, runs, spans, ids = raw.tobytes(), [], [], [], []
             for i in range(b.num_rows):
                 text = data[at[i] : at[i + 1]]
-                k, hit, found = scan(machine, text)
+                k, hit, found = machine.scan(text)
                 n.append(k)
                 runs.append(pairs(hit))
                 spans.append(pairs(byte_spans(text, hit)))
@@ -108,7 +113,38 @@ def _merge_runs(column: str):
     )
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, width: int, nodes: int) -> list:
+    """The benchmark's items in blocks of at most about ``nodes`` nodes, each a broadcast of (item, words); one block at least.
+
+    Items are cut into pieces that overlap by one word less than a window, which leaves each window whole.
+    """
+
+    def cut(it):
+        for b in it:
+            out: list[list] = [[], [], [], []]
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = words_of(text)
+                for i in range(0, max(1, len(words) - width + 1) if words else 0, PIECE_WINDOWS):
+                    piece = words[i : i + PIECE_WINDOWS + width - 1]
+                    for col, v in zip(out, (item, i, b" ".join(piece), max(1, len(piece) - width + 1) * min(width, len(piece)))):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.binary(), pa.int64()))], ["item", "at", "words", "nodes"])
+
+    spark = benchmark.sparkSession
+    bounded_batches(spark)
+    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.encode(F.col(f"`{item_text_col}`").cast("string"), "UTF-8").alias("text")).dropna()
+    pieces = written(items.mapInArrow(cut, "item string, at long, words binary, nodes long"), "benchmark-pieces")
+    total = pieces.agg(F.sum("nodes")).first()[0] or 0
+    n = 1 if total <= nodes else 2 * -(-total // nodes)  # hashed blocks are uneven: half-full on average
+    blocks = []
+    for k in range(n):
+        part = pieces.where(F.pmod(F.xxhash64("item", "at"), F.lit(n)) == k)
+        blocks.append(spark.sparkContext.broadcast(sorted((r.item, bytes(r.words)) for r in part.select("item", "words").collect())))
+    discard(pieces)
+    return blocks
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, automaton_nodes: int = AUTOMATON_NODES) -> DataFrame:
     """(doc_id, n_words, runs, spans, items) of every row of docs.
 
     ``runs`` are maximal runs [first, last) of hit words, ``spans`` the same as bytes of the
@@ -117,44 +153,33 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     no words; null item texts no window, null item ids none either.  Repeated rows each get a row;
     an empty benchmark hits nothing.
 
-    The benchmark goes to the tasks only up to ``automaton_bytes`` of text; beyond, docs are
-    scanned once for each block of items of that size, and the hits are merged.
+    An automaton has at most about ``automaton_nodes`` nodes, one for each word of each window at most; a larger benchmark
+    comes in blocks, each with an automaton and a scan of its own, and the hits are merged.
     """
     d = identified(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("row_hash"), "text")
-    b = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.encode(F.col(f"`{item_text_col}`").cast("string"), "UTF-8").alias("text")).dropna()
-    size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // automaton_bytes) or 1
-    if n == 1:
-        items = sorted((r.item, bytes(r.text)) for r in b.collect())  # at most automaton_bytes, as just measured
-        return d.mapInArrow(_scanner(items, width), _SCHEMA).drop("row_hash")
-    d = d.withColumn("copy", F.lit(0)).groupBy("doc_id", "row_hash", "text").agg(F.count(F.lit(1)).cast("int").alias("copies"))
-    parts = None
-    blocks = 2 * n  # hashed blocks are uneven: half-full on average
-    for k in range(blocks):
-        items = sorted((r.item, bytes(r.text)) for r in b.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect())
-        part = d.select("doc_id", "row_hash", "text").mapInArrow(_scanner(items, width), _SCHEMA)
-        parts = part if parts is None else parts.unionByName(part)
-    merged = parts.groupBy("doc_id", "row_hash").agg(F.max("n_words").alias("n_words"), _merge_runs("runs").alias("runs"), _merge_runs("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    copies = d.select(F.col("doc_id").alias("d2"), F.col("row_hash").alias("r2"), "copies")
-    out = merged.join(copies, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("row_hash") == F.col("r2")))
-    return out.select("doc_id", "n_words", "runs", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("c")).drop("c")
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    scans = [d.mapInArrow(_scanner(items, width), _SCHEMA) for items in _blocks(benchmark, item_col, item_text_col, width, automaton_nodes)]
+    if len(scans) == 1:
+        return scans[0].drop("row_hash")
+    parts = scans[0].withColumn("block", F.lit(0))
+    for k, part in enumerate(scans[1:], 1):
+        parts = parts.unionByName(part.withColumn("block", F.lit(k)))
+    # repeated rows are told once by each block, then there are as many rows of a document as blocks
+    once = parts.groupBy("doc_id", "row_hash", "block").agg(*[F.first(c).alias(c) for c in ("n_words", "runs", "spans", "items")], F.count(F.lit(1)).cast("int").alias("copies"))
+    merged = once.groupBy("doc_id", "row_hash").agg(F.max("n_words").alias("n_words"), _merge_runs("runs").alias("runs"), _merge_runs("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("copies").alias("copies"))
+    return merged.select("doc_id", "n_words", "runs", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("c")).drop("c")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, automaton_nodes: int = AUTOMATON_NODES) -> DataFrame:
     """docs without the rows that have a window of a benchmark item; all columns stay.  Larger benchmarks are applied in blocks, one after another."""
-    b = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.encode(F.col(f"`{item_text_col}`").cast("string"), "UTF-8").alias("text")).dropna()
-    size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 if size <= automaton_bytes else 2 * -(-size // automaton_bytes)
-    for k in range(blocks):
-        items = sorted((r.item, bytes(r.text)) for r in b.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect())
-        docs = kept_rows(docs, text_col, lambda items=items: _clean(automaton(items, width)))
+    for items in _blocks(benchmark, item_col, item_text_col, width, automaton_nodes):
+        docs = kept_rows(docs, text_col, lambda items=items: _clean(Machine(items.value, width)))
     return docs
 
 
-def _clean(machine):
+def _clean(machine: Machine):
     def judge(raw, at):
         data = raw.tobytes()
-        return np.array([not scan(machine, data[a:z])[1] for a, z in zip(at[:-1].tolist(), at[1:].tolist())], bool)
+        return np.array([not machine.scan(data[a:z])[1] for a, z in zip(at[:-1].tolist(), at[1:].tolist())], bool)
 
     return judge
 
