@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import mix
 
-#: Listed URLs up to which the Bloom filter is built (16 bits each, 32 MB); larger lists are joined without it.
-FILTER_ROWS = 1 << 24
+#: Bytes of the Bloom filter at most: 16 bits a key up to 2^24 listed URLs, fewer a key beyond.
+FILTER_BYTES = 32 << 20
+#: 64-bit words of the filter that one row brings to the driver, at most.
+_SEGMENT = 1 << 15
 #: Bytes of listed URLs that may be broadcast for the exact join; larger lists are shuffled by key.
 BROADCAST_BYTES = 8 << 20
 _U = np.uint64
@@ -26,11 +28,18 @@ _U = np.uint64
 class BlockedBloom:
     """Blocked Bloom filter over 64-bit keys."""
 
-    def __init__(self, keys: np.ndarray, bits_per_key: int = 16, probes: int = 8):
+    def __init__(self, blocks: int, probes: int):
+        self.probes, self.mask, self.words = probes, _U(blocks - 1), np.zeros(blocks * 8, np.uint64)
+
+    @classmethod
+    def sized(cls, n: int, bits_per_key: int = 16, most: int = FILTER_BYTES) -> "BlockedBloom":
+        """An empty filter for n keys in at most ``most`` bytes; with fewer bits a key it has fewer probes and lets more pass."""
         blocks = 1
-        while blocks * 512 < len(keys) * bits_per_key:
+        while blocks * 512 < n * bits_per_key and blocks * 128 <= most:
             blocks *= 2
-        self.probes, self.mask, self.words = probes, _U(blocks - 1), np.zeros(blocks * 8, np.uint64)
+        return cls(blocks, int(min(8, max(1, round(0.69 * blocks * 512 / max(1, n))))))
+
+    def add(self, keys: np.ndarray) -> None:
         for at, bit in self._places(keys.astype(np.uint64)):
             np.bitwise_or.at(self.words, at, bit)
 
@@ -54,6 +63,32 @@ class BlockedBloom:
         return out
 
 
+def bloom_of(keys: DataFrame, n: int, most: int = FILTER_BYTES) -> BlockedBloom:
+    """The filter of n keys (key long): each key goes to its segment of the filter, tasks set the bits, and only segments come to the driver."""
+    out = BlockedBloom.sized(n, most=most)
+    blocks, probes, width = len(out.words) // 8, out.probes, min(_SEGMENT, len(out.words))
+
+    def dealt(it):
+        part = BlockedBloom(blocks, 1)
+        for b in it:
+            key = b.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
+            (first, _), *_ = part._places(key)
+            yield pa.RecordBatch.from_arrays([pa.array(first // width, pa.int64()), b.column(0)], ["segment", "key"])
+
+    def built(it):
+        part, seen = BlockedBloom(blocks, probes), set()
+        for b in it:
+            part.add(b.column(1).to_numpy(zero_copy_only=False))
+            seen.update(b.column(0).to_pylist())
+        for k in sorted(seen):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part.words[k * width : (k + 1) * width].tobytes()], pa.binary())], ["segment", "words"])
+
+    placed = keys.select("key").mapInArrow(dealt, "segment long, key long").repartition("segment")
+    for r in placed.mapInArrow(built, "segment long, words binary").toLocalIterator():
+        out.words[r.segment * width : (r.segment + 1) * width] |= np.frombuffer(r.words, np.uint64)
+    return out
+
+
 def host_of(url: Column) -> Column:
     """Between the first :// and the next / ? # or the end, A-Z lower-cased; empty without ://."""
     return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://([^/?#]*)", 1), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -64,7 +99,7 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, *, url_col: str = "url", default: str = "allow", keep: list[str] = (), filter_rows: int = FILTER_ROWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, *, url_col: str = "url", default: str = "allow", keep: list[str] = (), filter_bytes: int = FILTER_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(*keep, url, host, path, rule, verdict) of every row of pages.
 
     ``listed`` has rows (host, path, verdict).  A listed URL fits its host and all
@@ -78,9 +113,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, *, url_col: str = "url", de
     rules = rules.groupBy("rule_host", "rule_path").agg(F.min("rule_verdict").alias("rule_verdict"))
     rules = rules.withColumn("rule", F.concat("rule_host", "rule_path")).withColumn("key", F.xxhash64("rule_host", F.lit("\0"), "rule_path"))
     size = rules.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("rule") * 2 + 16).alias("bytes"), F.collect_set(F.char_length("rule_path")).alias("lengths")).first()
-    bloom = None
-    if size.n <= filter_rows:
-        bloom = BlockedBloom(np.array([r.key for r in rules.select("key").collect()], np.int64))
+    kept = spark.sparkContext.broadcast(bloom_of(rules.select("key"), size.n, filter_bytes))
     names = list(keep)
     rows = pages.select(*[F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(names)], F.col(f"`{url_col}`").cast("string").alias("url"))
     ids = [f"keep_{i}" for i in range(len(names))]
@@ -91,20 +124,18 @@ def filter_urls(pages: DataFrame, listed: DataFrame, *, url_col: str = "url", de
     starts = F.transform(F.filter(lengths, lambda n: n <= F.char_length("path")), lambda n: F.col("path").substr(F.lit(1), n))
     keys = F.flatten(F.transform(suffixes, lambda h: F.transform(starts, lambda p: F.xxhash64(h, F.lit("\0"), p))))
     rows = rows.withColumn("keys", keys)
-    if bloom is not None:
-        kept = spark.sparkContext.broadcast(bloom)
-
-        def possible(it):
-            """Leaves each row only those of its keys that the filter may hold."""
-            for b in it:
-                col = b.column(b.num_columns - 1)
-                n, flat = col.value_lengths().to_numpy(zero_copy_only=False), col.flatten()
-                ok = kept.value.test(flat.to_numpy().astype(np.uint64)) if len(flat) else np.zeros(0, bool)
-                left = np.add.reduceat(np.append(ok, False).astype(np.int64), np.cumsum(n) - n) * (n > 0)
-                at = pa.array(np.concatenate([[0], np.cumsum(left)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(at, flat.filter(pa.array(ok)))], names=b.schema.names)
-
-        rows = rows.mapInArrow(possible, rows.schema)
+
+    def possible(it):
+        """Leaves each row only those of its keys that the filter may hold."""
+        for b in it:
+            col = b.column(b.num_columns - 1)
+            n, flat = col.value_lengths().to_numpy(zero_copy_only=False), col.flatten()
+            ok = kept.value.test(flat.to_numpy().astype(np.uint64)) if len(flat) else np.zeros(0, bool)
+            left = np.add.reduceat(np.append(ok, False).astype(np.int64), np.cumsum(n) - n) * (n > 0)
+            at = pa.array(np.concatenate([[0], np.cumsum(left)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(at, flat.filter(pa.array(ok)))], names=b.schema.names)
+
+    rows = rows.mapInArrow(possible, rows.schema)
     hits = rows.select(*ids, "url", "host", "path", "copies", F.explode_outer("keys").alias("key"))
     exact = F.broadcast(rules) if (size.bytes or 0) <= broadcast_bytes else rules
     fits = F.col("path").startswith(F.col("rule_path")) & ((F.col("host") == F.col("rule_host")) | F.col("host").endswith(F.concat(F.lit("."), F.col("rule_host"))))
