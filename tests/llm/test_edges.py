@@ -120,7 +120,7 @@ def test_exact_windows_across_many_sources(spark):
 def test_decontamination(spark, docs, none):
     bench = spark.createDataFrame([(1, " ".join(PASSAGE.split()[20:35])), (2, "Word!"), (3, None), (4, ""), (None, PASSAGE), (5, prose(15, 99))], "item_id long, text string")
     one = decontaminate.find_contamination(docs, bench)
-    many = decontaminate.find_contamination(docs, bench, automaton_bytes=64)
+    many = decontaminate.find_contamination(docs, bench, automaton_nodes=64)
     key = lambda r: (r.doc_id is not None, r.doc_id or 0)
     a, b = (sorted(map(lambda r: r.asDict(True), df.select("doc_id", "n_words", "runs", "spans", "items").collect()), key=str) for df in (one, many))
     assert a == b
@@ -228,16 +228,42 @@ def test_url_filter(spark):
         return (host, path, max(fit)[1], max(fit)[2]) if fit else (host, path, None, "allow")
 
     want = sorted(((i, *plain(u)) for i, u in rows), key=str)
-    for kw in ({}, {"filter_rows": 0, "broadcast_bytes": 0}):
+    for kw in ({}, {"filter_bytes": 64, "broadcast_bytes": 0}):
         got = url_filter.filter_urls(df, url_filter.rules_table(spark), keep=["page_id"], **kw).select("page_id", "host", "path", "rule", "verdict")
         assert sorted(map(tuple, got.collect()), key=str) == want
     assert url_filter.filter_urls(df.limit(0), url_filter.rules_table(spark), keep=["page_id"]).count() == 0
     assert {r.verdict for r in url_filter.filter_urls(df, url_filter.rules_table(spark, []), keep=["page_id"]).collect()} == {"allow"}
 
 
+def test_long_items_are_cut_between_windows(spark):
+    words = [f"w{i}" for i in range(decontaminate.PIECE_WINDOWS + 200)]
+    at = decontaminate.PIECE_WINDOWS
+    rows = [(0, " ".join(words[at - 5 : at + 5])), (1, " ".join(words[at - 5 : at + 4])), (2, " ".join(words[-10:])), (3, "x " + " ".join(words))]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string")
+    bench = spark.createDataFrame([("long", " ".join(words))], "item_id string, text string")
+    for nodes in (1 << 20, 25_000):
+        got = sorted((r.doc_id, r.n_words, [tuple(x) for x in r.runs], r["items"]) for r in decontaminate.find_contamination(docs, bench, automaton_nodes=nodes).collect())
+        one = [(0, 10, [(0, 10)], ["long"]), (1, 9, [], []), (2, 10, [(0, 10)], ["long"]), (3, len(words) + 1, [(1, len(words) + 1)], ["long"])]
+        assert got == sorted(one * 2)
+
+
+def test_bloom_filter_of_tasks_is_that_of_all_keys(spark):
+    keys = np.random.default_rng(2).integers(-(1 << 62), 1 << 62, 300_000)
+    df = spark.createDataFrame([(int(k),) for k in keys[:200_000]], "key long").repartition(3)
+    f = url_filter.bloom_of(df, 200_000)
+    g = url_filter.BlockedBloom.sized(200_000)
+    g.add(keys[:200_000].astype(np.uint64))
+    assert (f.words == g.words).all() and f.probes == g.probes
+    assert f.test(keys[:200_000].astype(np.uint64)).all() and f.test(keys[200_000:].astype(np.uint64)).mean() < 0.02
+    small = url_filter.BlockedBloom.sized(200_000, most=1 << 18)  # fewer bits a key: more pass, none is lost
+    small.add(keys[:200_000].astype(np.uint64))
+    assert small.words.nbytes == 1 << 18 and small.test(keys[:200_000].astype(np.uint64)).all()
+
+
 def test_bloom_filter_has_no_false_negatives():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 20_000).astype(np.uint64)
-    f = url_filter.BlockedBloom(keys[:10_000])
+    f = url_filter.BlockedBloom.sized(10_000)
+    f.add(keys[:10_000])
     assert f.test(keys[:10_000]).all() and f.test(keys[10_000:]).mean() < 0.02
 
 
