@@ -30,26 +30,36 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TO_WORDS).split()
 
 
+#: Characters of a word number, and those of a word that no item has.
+_DIGITS, _UNKNOWN = 3, "\xff" * 3
+
+
+def _digits(number: int) -> str:
+    """A word number as three characters from ranges of their own, so a match can't begin within a word; few nodes have more than 64 children to look through."""
+    return chr(number & 63) + chr(64 + (number >> 6 & 63)) + chr(256 + (number >> 12))
+
+
 class Machine:
     """The automaton over word numbers: windows of all items, their lengths and the items that hold them.
 
-    Words that no item has are all number 0, which no window holds.
+    A text is a string of three characters a word; words that no item has look all alike, and no window holds them.
     """
 
     def __init__(self, items: list[tuple[str, bytes]], width: int):
-        self.numbers: dict[bytes, int] = {}
+        self.numbers: dict[bytes, str] = {}
         self.lengths: list[int] = []
         self.holders: list[list[str]] = []
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for ident, text in items:
-            words = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text))
+            words = [self.numbers.setdefault(w, _digits(len(self.numbers))) for w in words_of(text)]
             for i in range(max(1, len(words) - width + 1) if words else 0):
-                part = words[i : i + width]
+                held = words[i : i + width]
+                part = "".join(held)
                 k = self.automaton.get(part, -1)
                 if k < 0:
                     k = len(self.lengths)
                     self.automaton.add_word(part, k)
-                    self.lengths.append(len(part))
+                    self.lengths.append(len(held))
                     self.holders.append([])
                 if ident not in self.holders[k][-1:]:
                     self.holders[k].append(ident)
@@ -62,9 +72,10 @@ class Machine:
         if not self.lengths or not words:
             return len(words), [], []
         number = self.numbers.get
-        found = list(self.automaton.iter(tuple([number(w, 0) for w in words])))
+        found = list(self.automaton.iter("".join([number(w, _UNKNOWN) for w in words])))
         runs: list[tuple[int, int]] = []
-        for first, last in sorted((end + 1 - self.lengths[k], end + 1) for end, k in found):
+        ends = [((end + 1) // _DIGITS, self.lengths[k]) for end, k in found]
+        for first, last in sorted((end - n, end) for end, n in ends):
             if runs and first <= runs[-1][1]:
                 runs[-1] = (runs[-1][0], max(last, runs[-1][1]))
             else:
@@ -126,7 +137,7 @@ def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, width: int,
                 words = words_of(text)
                 for i in range(0, max(1, len(words) - width + 1) if words else 0, PIECE_WINDOWS):
                     piece = words[i : i + PIECE_WINDOWS + width - 1]
-                    for col, v in zip(out, (item, i, b" ".join(piece), max(1, len(piece) - width + 1) * min(width, len(piece)))):
+                    for col, v in zip(out, (item, i, b" ".join(piece), _DIGITS * max(1, len(piece) - width + 1) * min(width, len(piece)))):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.binary(), pa.int64()))], ["item", "at", "words", "nodes"])
 
@@ -153,7 +164,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     no words; null item texts no window, null item ids none either.  Repeated rows each get a row;
     an empty benchmark hits nothing.
 
-    An automaton has at most about ``automaton_nodes`` nodes, one for each word of each window at most; a larger benchmark
+    An automaton has at most about ``automaton_nodes`` nodes, three for each word of each window at most; a larger benchmark
     comes in blocks, each with an automaton and a scan of its own, and the hits are merged.
     """
     d = identified(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("row_hash"), "text")
