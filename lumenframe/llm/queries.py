@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, near_dup, quality, substring_exact, substring_near, tokens, toxicity, url_filter
+from . import clustering, decontaminate, line_dedup, mixing, near_dup, quality, sharding, substring_exact, substring_near, tokens, toxicity, turns, url_filter
 
 QUERIES = {
     "op1_token_output": tokens.op1_token_output,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_substring_dedup": substring_near.op9_substring_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_sort_means": clustering.op11_sort_means,
+    "op12_sampled_splitters": sharding.op12_sampled_splitters,
+    "op13_turn_repair": turns.op13_turn_repair,
 }
 
 ORACLES = {
@@ -23,4 +26,7 @@ ORACLES = {
     "op6_url_filter": url_filter.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op11_sort_means": clustering.ORACLE,
+    "op12_sampled_splitters": sharding.ORACLE,
+    "op13_turn_repair": turns.ORACLE,
 }
