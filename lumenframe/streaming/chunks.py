@@ -44,10 +44,13 @@ def deduplicated(frames: DataFrame, fps: float, lateness: str = "10 seconds") ->
 
 
 def live_view(l1: DataFrame, frames_per_bin: int, fps: float, lateness: str = "10 seconds") -> DataFrame:
-    """(window, y, x, sum_v, n_frames): sums of every ``frames_per_bin`` frames of a stream; missing frames leave n_frames short."""
+    """(window, y, x, sum_v, n_frames): sums of every ``frames_per_bin`` frames of a stream, and how many of them have the pixel lit.
+
+    For views that close by their number of frames, and say which are missing, see ``stateful.count_views``.
+    """
     t = l1.withColumn("event_time", F.timestamp_micros((F.col("frame_id").cast("double") / fps * 1_000_000).cast("long")))
     w = F.window("event_time", f"{round(frames_per_bin / fps * 1_000_000)} microseconds")
-    return t.withWatermark("event_time", lateness).groupBy(w.alias("window"), "y", "x").agg(F.sum("v").alias("sum_v"), F.approx_count_distinct("frame_id").alias("n_frames"))
+    return t.withWatermark("event_time", lateness).groupBy(w.alias("window"), "y", "x").agg(F.sum("v").alias("sum_v"), F.count(F.lit(1)).alias("n_frames"))
 
 
 def validation_dose(frames: DataFrame, dark, eps: int, geom: Geometry, gap: int, size: int = 128) -> DataFrame:
