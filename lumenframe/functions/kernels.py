@@ -99,6 +99,67 @@ def label(frame: np.ndarray, y: np.ndarray, x: np.ndarray, ny: int, nx: int) ->
     return out
 
 
+def _sunk(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that each of n nodes is joined to by edges a-b."""
+    lab = np.arange(n)
+    while len(a):
+        low = np.minimum(lab[a], lab[b])
+        np.minimum.at(lab, lab[a], low)
+        np.minimum.at(lab, lab[b], low)
+        while True:
+            jumped = lab[lab]
+            if (jumped == lab).all():
+                break
+            lab = jumped
+        apart = lab[a] != lab[b]
+        a, b = a[apart], b[apart]
+    return lab
+
+
+def level_components(level: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(components, pixels) of an image's foreground at each of n thresholds; a pixel is foreground at the thresholds 0 to level - 1.
+
+    Pixels join from the highest threshold down: at each one the edges to pixels that are new there join the components that there are, so every
+    edge is looked at once.  What a threshold has is its pixels less the joins so far.
+    """
+    ny, nx = level.shape
+    pixels = np.bincount(level.ravel(), minlength=n + 1)[::-1].cumsum()[::-1][1:]
+    index = np.arange(ny * nx).reshape(ny, nx)
+    a, b, w = [], [], []
+    for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)):
+        here = (slice(0, ny - dy), slice(max(0, -dx), nx - max(0, dx)))
+        there = (slice(dy, ny), slice(max(0, dx), nx - max(0, -dx)))
+        both = np.minimum(level[here], level[there])
+        on = both > 0
+        a.append(index[here][on])
+        b.append(index[there][on])
+        w.append(both[on])
+    a, b, w = np.concatenate(a), np.concatenate(b), np.concatenate(w)
+    order = np.argsort(-w, kind="stable")
+    a, b, w = a[order], b[order], w[order]
+    cuts = np.searchsorted(-w, -np.arange(n, -1, -1), "left")  # edges of weight n, n - 1, ... 1
+    root, joins, out = np.arange(ny * nx), 0, np.zeros(n, np.int64)
+
+    def top(x):
+        while True:
+            up = root[x]
+            if (up == x).all():
+                return x
+            x = up
+
+    for k in range(n):
+        x, y = top(a[cuts[k] : cuts[k + 1]]), top(b[cuts[k] : cuts[k + 1]])
+        apart = x != y
+        nodes, local = np.unique(np.concatenate([x[apart], y[apart]]), return_inverse=True)
+        if len(nodes):
+            half = len(local) // 2
+            low = _sunk(local[:half], local[half:], len(nodes))
+            root[nodes] = nodes[low]
+            joins += len(nodes) - len(np.unique(low))
+        out[n - 1 - k] = pixels[n - 1 - k] - joins
+    return out, pixels.astype(np.int64)
+
+
 def event_rows(frame, y, x, v, ny: int, nx: int, border: str = "keep") -> dict[str, np.ndarray]:
     """Components of sparse pixels with their sums: area, w = sum v, wy = sum v*y, wx = sum v*x, vmax, vmin, and the peak pixel (ties: first in scan order)."""
     frame, y, x, v = (np.asarray(c, np.int64) for c in (frame, y, x, v))

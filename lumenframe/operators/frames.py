@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs, kernels
 
-#: Pixels of the largest calibration frame that goes to the tasks (4 bytes each).
-CALIBRATION_PIXELS = 1 << 26
+#: Pixels of the largest calibration frame that goes to the tasks (8 bytes each).
+CALIBRATION_PIXELS = 1 << 25
 
 
 @dataclass(frozen=True)
@@ -49,13 +49,36 @@ def _pair(frames: DataFrame) -> DataFrame:
 
 
 def calibration_array(table: DataFrame, geom: Geometry, column: str = "t") -> np.ndarray:
-    """A per-pixel table (y, x, value) as one array; pixels that it lacks are nought.  Its size is the frame's, which is checked."""
+    """A per-pixel table (y, x, value) as one array; pixels that it lacks are nought.
+
+    Tasks fold their rows into pieces of the array; the driver puts pieces together, not rows.  The array's size is the frame's, which is checked.
+    """
     if geom.pixels > CALIBRATION_PIXELS:
         raise ValueError(f"a calibration frame of {geom.pixels} pixels is over the limit of {CALIBRATION_PIXELS}; tile the frames")
-    out = np.zeros(geom.pixels, np.int64)
-    rows = table.select((F.col("y") * geom.nx + F.col("x")).cast("long").alias("i"), F.col(column).cast("long").alias("v")).where("v IS NOT NULL").toPandas()
-    out[rows["i"].to_numpy()] = rows["v"].to_numpy()
-    return out
+    piece = 1 << 16
+
+    def run(it):
+        k, held = None, None
+        for b in it:
+            i, v = b.column(1).to_numpy(), b.column(2).to_numpy()
+            which = b.column(0).to_numpy()
+            for a, z in zip(*(lambda c: (c[:-1], c[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(which)) + 1, [len(which)]]))):
+                if a == z:
+                    continue
+                if which[a] != k:
+                    if held is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([held.tobytes()], pa.binary())], ["k", "piece"])
+                    k, held = int(which[a]), np.zeros(piece, "<i8")
+                held[i[a:z] - k * piece] = v[a:z]
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([held.tobytes()], pa.binary())], ["k", "piece"])
+
+    rows = table.select((F.col("y") * geom.nx + F.col("x")).cast("long").alias("i"), F.col(column).cast("long").alias("v")).where(f"v IS NOT NULL AND i >= 0 AND i < {geom.pixels}")
+    pieces = rows.select(F.expr(f"i div {piece}").alias("k"), "i", "v").repartition("k").sortWithinPartitions("k").mapInArrow(run, "k long, piece binary")
+    out = np.zeros(-(-geom.pixels // piece) * piece, np.int64)
+    for r in pieces.collect():
+        out[r.k * piece : (r.k + 1) * piece] = np.frombuffer(r.piece, "<i8")
+    return out[: geom.pixels]
 
 
 def per_pixel(frames: DataFrame, geom: Geometry, how: str = "max") -> DataFrame:
@@ -144,10 +167,14 @@ def frame_stats(frames: DataFrame, dark, eps: int, geom: Geometry) -> DataFrame:
     return _pair(frames).mapInArrow(run, "frame_id long, n_fg long, sum_v long, max_v int, min_v int")
 
 
-def events(frames: DataFrame, dark, eps: int, geom: Geometry, border: str = "keep") -> DataFrame:
-    """Connected components of every frame's foreground, thresholded and labelled in the same pass (see ``components.EVENT``)."""
+def events(frames: DataFrame, dark, eps: int, geom: Geometry, border: str = "keep", weights: str = "above") -> DataFrame:
+    """Connected components of every frame's foreground, thresholded and labelled in the same pass (see ``components.EVENT``).
+
+    A pixel weighs what it has above threshold and eps, or with ``weights`` "dark" what it has above the dark frame alone.
+    """
     from .components import EVENT, event_batch
 
+    more = {"above": 0, "dark": int(eps)}[weights]
     t = frames.sparkSession.sparkContext.broadcast(_threshold(dark, eps, geom))
 
     def run(it):
@@ -159,7 +186,7 @@ def events(frames: DataFrame, dark, eps: int, geom: Geometry, border: str = "kee
                     o.append(c)
             if parts[0]:
                 f, at, v = (np.concatenate(o) for o in parts)
-                yield event_batch(kernels.event_rows(f, at // geom.nx, at % geom.nx, v, geom.ny, geom.nx, border))
+                yield event_batch(kernels.event_rows(f, at // geom.nx, at % geom.nx, v + more, geom.ny, geom.nx, border))
 
     return _pair(frames).mapInArrow(run, EVENT)
 
