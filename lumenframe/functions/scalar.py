@@ -88,5 +88,10 @@ def message_of(json: Column) -> Column:
     return F.from_json(json, "session_id string, type string, message string, mapped_data map<string,string>")
 
 
+def same_name(a: Column, b: Column) -> Column:
+    """Whether two names are alike but for their case."""
+    return F.lower(a) == F.lower(b)
+
+
 def log_time(ts: Column) -> Column:
     return F.date_format(ts, "MM/dd/yyyy-HH:mm:ss")

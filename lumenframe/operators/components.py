@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,12 +71,48 @@ def mean_dose(rates: DataFrame, n_frames: int, first: int = 100) -> DataFrame:
     return rates.where(F.col("frame_id") < first).agg(F.avg("rate").alias("rate"), F.count(F.lit(1)).alias("frames")).withColumn("n_events", F.floor(F.lit(n_frames) * F.col("rate")))
 
 
-def unmatched(left: DataFrame, right: DataFrame, reach: int = 1) -> DataFrame:
-    """Points (frame_id, cy, cx) of left without one of right within ``reach`` in both directions.
+def unmatched(left: DataFrame, right: DataFrame, reach: int = 1, frames_per_group: int = 16) -> DataFrame:
+    """Points (frame_id, cy, cx) of left without one of right within ``reach`` in both directions; all columns of left stay, a point with a null is without one.
 
-    On the pixel lattice a distance of at most sqrt 2 is a reach of 1.  Right points are spread over their neighbourhood, so the band join
-    is an equi-join, shuffled on the point itself.
+    On the pixel lattice a distance of at most sqrt 2 is a reach of 1.  Both sides meet by short ranges of frames, each point shuffled once; there the points of right
+    are sorted by frame and cell, and each point of left looks for its neighbouring cells.
     """
-    offsets = [(dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)]
-    near = right.select("frame_id", F.explode(F.array(*[F.struct((F.col("cy") + dy).alias("cy"), (F.col("cx") + dx).alias("cx")) for dy, dx in offsets])).alias("p")).select("frame_id", "p.cy", "p.cx")
-    return left.join(near, ["frame_id", "cy", "cx"], "left_anti")
+    block = next(n for n in ("__block", "__block_", "__block__") if n not in left.columns)
+    group = lambda f: F.floor(F.col(f) / frames_per_group).cast("long")
+    kinds = [(f.name, f.dataType) for f in left.schema.fields]
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructField, StructType
+
+    empty = to_arrow_schema(StructType([StructField(n, k) for n, k in kinds])).empty_table()
+
+    def points(t, names):
+        cols = [pc.cast(t.column(c), pa.int64()) for c in names]
+        ok = pc.and_(pc.and_(pc.is_valid(cols[0]), pc.is_valid(cols[1])), pc.is_valid(cols[2])).to_numpy(zero_copy_only=False).astype(bool)
+        return ok, [c.fill_null(0).to_numpy() for c in cols]
+
+    names = [n for n, _ in kinds]
+
+    def work(l, r):
+        if not r.num_rows or not l.num_rows:  # a side without the group comes without columns
+            return l.select(names) if l.num_rows else empty
+        ok, (f, y, x) = points(l, ("frame_id", "cy", "cx"))
+        some, (g, v, u) = points(r, ("__f", "__y", "__x"))
+        out = np.zeros(len(f), bool)
+        if some.any() and ok.any():
+            lows = [min(a[ok].min(), b[some].min()) - reach for a, b in ((y, v), (x, u))]
+            wide = max(x[ok].max(), u[some].max()) + reach + 1 - lows[1]
+            high = max(y[ok].max(), v[some].max()) + reach + 1 - lows[0]
+            first = min(f[ok].min(), g[some].min())
+            cell = lambda a, b, c: ((a - first) * high + b - lows[0]) * wide + c - lows[1]
+            there = np.unique(cell(g[some], v[some], u[some]))
+            for dy in range(-reach, reach + 1):
+                for dx in range(-reach, reach + 1):
+                    want = cell(f, y + dy, x + dx)
+                    out |= there[np.searchsorted(there, want).clip(max=len(there) - 1)] == want
+            out &= ok
+        return l.filter(pa.array(~out)).select(names)
+
+    # columns of their own, as both sides may come from one table
+    cells = right.select(*[F.col(c).cast("long").alias(n) for c, n in (("frame_id", "__f"), ("cy", "__y"), ("cx", "__x"))]).withColumn("__g", group("__f"))
+    schema = StructType([StructField(n, k) for n, k in kinds])
+    return left.withColumn(block, group("frame_id")).groupBy(block).cogroup(cells.groupBy("__g")).applyInArrow(work, schema)

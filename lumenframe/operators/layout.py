@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,12 +87,20 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def mismatch_share(a: DataFrame, b: DataFrame, key: str = "frame_id", value: str = "data") -> DataFrame:
-    """(frame_id, share): bytes that differ between two binary columns; what one side lacks differs."""
-    x, y = a.select(key, F.hex(value).alias("x")), b.select(key, F.hex(value).alias("y"))
-    n = F.greatest(F.length("x"), F.length("y")) / 2
-    differ = F.size(F.filter(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.substring("x", 2 * i + 1, F.lit(2)) != F.substring("y", 2 * i + 1, F.lit(2))))
-    both = x.join(y, key, "full_outer").select(key, F.coalesce("x", F.lit("")).alias("x"), F.coalesce("y", F.lit("")).alias("y"))
-    return both.select(key, F.when(n > 0, differ / n).otherwise(0.0).alias("share"))
+    """(frame_id, share): bytes that differ between two binary columns; what one side lacks differs, and two empty ones are alike."""
+    names = [key, "share"]
+
+    def run(it):
+        for rows in it:
+            out = []
+            for x, y in zip(rows.column(1), rows.column(2)):
+                p, q = (np.frombuffer(v.as_buffer(), np.uint8) if v.is_valid else np.zeros(0, np.uint8) for v in (x, y))
+                n, m = max(len(p), len(q)), min(len(p), len(q))
+                out.append((n - m + int((p[:m] != q[:m]).sum())) / n if n else 0.0)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(out, pa.float64())], names)
+
+    both = a.select(key, F.col(value).cast("binary").alias("x")).join(b.select(key, F.col(value).cast("binary").alias("y")), key, "full_outer").select(key, "x", "y")
+    return both.mapInArrow(run, f"`{key}` {both.schema[key].dataType.simpleString()}, share double")
 
 
 def size_ratios(sizes: DataFrame, raw_bytes: int) -> DataFrame:

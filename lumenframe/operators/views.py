@@ -65,8 +65,8 @@ def fraction_view(l1: DataFrame, frames_per_bin: int, start: int = 0) -> DataFra
     return l1.where(F.col("frame_id") >= start).groupBy(b, "y", "x").agg(F.sum("v").alias("sum_v"))
 
 
-def view_percentile(view: DataFrame, geom: Geometry, p: float) -> DataFrame:
-    """(bin, p): interpolated percentile of each dense view.
+def view_percentile(view: DataFrame, geom: Geometry, p: float, bins: DataFrame | None = None) -> DataFrame:
+    """(bin, p): interpolated percentile of each dense view; of a bin of ``bins`` without a count it is nought.
 
     Background pixels are not made: a view's sorted values begin with as many noughts as pixels are missing, so the two order statistics are picked
     from the ranked sparse values.
@@ -77,16 +77,36 @@ def view_percentile(view: DataFrame, geom: Geometry, p: float) -> DataFrame:
     lo, hi = int(np.floor(at)), int(np.ceil(at))
     ranked = view.where("sum_v > 0").withColumn("k", F.row_number().over(W.partitionBy("bin").orderBy(F.col("sum_v").desc())) - 1)
     pick = lambda r: F.coalesce(F.max(F.when(F.col("k") == n - 1 - r, F.col("sum_v"))), F.lit(0))
-    return ranked.where(F.col("k") <= n - 1 - lo).groupBy("bin").agg((pick(lo) + (pick(hi) - pick(lo)) * F.lit(at - lo)).cast("double").alias("p"))
+    found = ranked.where(F.col("k") <= n - 1 - lo).groupBy("bin").agg((pick(lo) + (pick(hi) - pick(lo)) * F.lit(at - lo)).cast("double").alias("p"))
+    return found if bins is None else bins.select("bin").distinct().join(found, "bin", "left").select("bin", F.coalesce("p", F.lit(0.0)).alias("p"))
 
 
-def dose_summary(l1: DataFrame, geom: Geometry, frames_per_bin: int, start: int = 0) -> DataFrame:
-    """(bin, total, rate, cumulative): counts of each bin, for each pixel and frame, and bin number times rate."""
+def dose_summary(l1: DataFrame, geom: Geometry, frames_per_bin: int, start: int = 0, frames: DataFrame | None = None) -> DataFrame:
+    """(bin, total, rate, cumulative): counts of each bin, for each pixel and frame, and bin number times rate.  With ``frames`` (frame_id) bins without a count have noughts, else no row."""
     t = fraction_view(l1, frames_per_bin, start).groupBy("bin").agg(F.sum("sum_v").alias("total"))
+    if frames is not None:
+        t = _bins(frames, frames_per_bin, start).join(t, "bin", "left").select("bin", F.coalesce("total", F.lit(0)).alias("total"))
     rate = F.col("total") / F.lit(float(geom.pixels * frames_per_bin))
     return t.select("bin", "total", rate.alias("rate"), (F.col("bin") * rate).alias("cumulative"))
 
 
+def _bins(frames: DataFrame, frames_per_bin: int, start: int) -> DataFrame:
+    return frames.where(F.col("frame_id") >= start).select(F.expr(f"cast((frame_id - {start}) div {frames_per_bin} as int)").alias("bin")).distinct()
+
+
+def text_lines(frames: DataFrame, geom: Geometry) -> DataFrame:
+    """(frame_id, y, line): each row of each frame as text, every value followed by a space."""
+
+    def run(it):
+        y = np.arange(geom.ny, dtype=np.int32)
+        for b in it:
+            for f, data in zip(b.column(0).to_pylist(), b.column(1)):
+                lines = ["".join(f"{v} " for v in row) for row in geom.image(data.as_buffer()).reshape(geom.ny, geom.nx).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(geom.ny, f)), pa.array(y), pa.array(lines)], ["frame_id", "y", "line"])
+
+    return frames.select(F.col("frame_id").cast("long"), "pixels").where("frame_id IS NOT NULL AND pixels IS NOT NULL").mapInArrow(run, "frame_id long, y int, line string")
+
+
 def spectrum(frames: DataFrame, geom: Geometry) -> DataFrame:
     """(frame_id, spectrum): log magnitude of the centred 2-D Fourier transform; noughts take the smallest finite value."""
 
