@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs
 from ..functions.scalar import ratio_rounded
-from ..operators import calibration, components, frames, layout, views
+from ..functions.sql import register_functions
+from ..operators import calibration, components, frames, layout, metrics, tiles, views
 from ..streaming import chunks
-from .fixtures import BASE, EPS, EVENTS, GEOM, dark_frames, grid, raw_frames
+from .fixtures import BASE, EPS, EVENTS, GEOM, dark_frames, raw_frames
 
 
 def _dark(spark):
@@ -23,8 +24,9 @@ def _events(spark, d):
     return frames.events(raw_frames(spark, d), _dark(spark), EPS, GEOM)
 
 
-def _dark_px(spark):
-    return frames.pixels(dark_frames(spark), GEOM)
+def _hist(spark, d):
+    """The run's own frames are its calibration frames: medians don't mind the few hits of a pixel."""
+    return tiles.tile_histograms(raw_frames(spark, d), GEOM)
 
 
 QUERIES, ORACLES = {}, {}
@@ -40,24 +42,24 @@ def query(oracle: str | None = None, base: str = BASE):
     return add
 
 
-@query("SELECT y, x, t FROM dark")
+@query("SELECT y, x, max(adu)::INT AS t FROM raw GROUP BY y, x")
 def dark_max(spark, d):
-    return _dark(spark)
+    return frames.dark_max(raw_frames(spark, d), GEOM)
 
 
-@query("SELECT y, x, median(adu)::DOUBLE AS med, round(stddev_pop(adu), 6) AS std FROM dk GROUP BY y, x")
+@query("SELECT y, x, median(adu)::DOUBLE AS med, round(stddev_pop(adu), 6) AS std FROM raw GROUP BY y, x")
 def dark_median_std(spark, d):
-    return calibration.pixel_stats(_dark_px(spark)).withColumn("std", F.round("std", 6))
+    return tiles.pixel_stats(_hist(spark, d), GEOM).withColumn("std", F.round("std", 6))
 
 
-@query("SELECT y, frame_id, median(adu)::DOUBLE AS med FROM dk GROUP BY y, frame_id")
+@query("SELECT y, frame_id, median(adu)::DOUBLE AS med FROM raw GROUP BY y, frame_id")
 def dark_row_medians(spark, d):
-    return calibration.row_medians(_dark_px(spark))
+    return calibration.row_medians(raw_frames(spark, d), GEOM)
 
 
-@query("SELECT y, x, adu // 4 AS bin, count(*) AS n FROM dk GROUP BY ALL")
+@query("SELECT y, x, (adu // 4)::INT AS bin, count(*) AS n FROM raw GROUP BY ALL")
 def dark_pixel_histograms(spark, d):
-    return calibration.pixel_histograms(_dark_px(spark), 4).select("y", "x", F.explode("hist").alias("bin", "n"))
+    return tiles.pixel_histograms(_hist(spark, d), GEOM, 4)
 
 
 @query("SELECT fr.frame_id, count(l1.v) AS n_fg, coalesce(sum(v), 0)::BIGINT AS sum_v, coalesce(max(v), 0)::INT AS max_v, coalesce(min(v), 0)::INT AS min_v FROM fr LEFT JOIN l1 USING (frame_id) GROUP BY 1")
@@ -199,12 +201,12 @@ def fg_ordinal(spark, d):
 
 @query("SELECT g.y, g.x, coalesce(v + 1, 4096)::INT AS t FROM grid g LEFT JOIN (SELECT y, x, v, row_number() OVER (PARTITION BY y, x ORDER BY v DESC) AS k FROM l1) r ON r.y = g.y AND r.x = g.x AND k = 6")
 def gain_threshold(spark, d):
-    return calibration.gain_threshold(_l1(spark, d), grid(spark), 5)
+    return calibration.gain_threshold(_l1(spark, d), 5, GEOM)
 
 
 @query("SELECT y, x, ((max(CASE WHEN k = 3 THEN v END) + max(CASE WHEN k = 4 THEN v END)) / 2.0)::DOUBLE AS t FROM (SELECT y, x, v, row_number() OVER (PARTITION BY y, x ORDER BY v DESC) AS k FROM l1) GROUP BY 1, 2")
 def topk_midpoint(spark, d):
-    return calibration.topk_midpoint(_l1(spark, d), 3).withColumn("t", F.col("t").cast("double"))
+    return calibration.topk_midpoint(_l1(spark, d), 3, GEOM).withColumn("t", F.col("t").cast("double"))
 
 
 @query("SELECT frame_id, y, x, (adu - median(adu) OVER (PARTITION BY frame_id, x // 16, x % 2))::DOUBLE AS adu FROM raw")
@@ -217,39 +219,94 @@ def fraction_view(spark, d):
     return views.fraction_view(_l1(spark, d), 10)
 
 
-@query("SELECT (frame_id // 10)::INT AS bin, sum(v)::BIGINT AS total, sum(v)::BIGINT / 40960.0::DOUBLE AS rate, (frame_id // 10)::INT * (sum(v)::BIGINT / 40960.0::DOUBLE) AS cumulative FROM l1 GROUP BY frame_id // 10")
+@query("SELECT (frame_id // 10)::INT AS bin, coalesce(sum(v), 0)::BIGINT AS total, coalesce(sum(v), 0)::BIGINT / 40960.0::DOUBLE AS rate, (frame_id // 10)::INT * (coalesce(sum(v), 0)::BIGINT / 40960.0::DOUBLE) AS cumulative FROM fr LEFT JOIN l1 USING (frame_id) GROUP BY frame_id // 10")
 def dose_summary(spark, d):
-    return views.dose_summary(_l1(spark, d), GEOM, 10)
+    raw = raw_frames(spark, d)
+    return views.dose_summary(frames.reduce_l1(raw, _dark(spark), EPS, GEOM), GEOM, 10, frames=raw)
 
 
 @query(
-    "SELECT bin, round(quantile_cont(coalesce(sum_v, 0), 0.9), 6)::DOUBLE AS p FROM (SELECT b.bin, g.y, g.x, s.sum_v FROM (SELECT DISTINCT (frame_id // 10)::INT AS bin FROM l1) b CROSS JOIN grid g LEFT JOIN (SELECT (frame_id // 10)::INT AS bin, y, x, sum(v)::BIGINT AS sum_v FROM l1 GROUP BY 1, 2, 3) s ON s.bin = b.bin AND s.y = g.y AND s.x = g.x) GROUP BY bin"
+    "SELECT bin, round(quantile_cont(coalesce(sum_v, 0), 0.9), 6)::DOUBLE AS p FROM (SELECT b.bin, g.y, g.x, s.sum_v FROM (SELECT DISTINCT (frame_id // 10)::INT AS bin FROM fr) b CROSS JOIN grid g LEFT JOIN (SELECT (frame_id // 10)::INT AS bin, y, x, sum(v)::BIGINT AS sum_v FROM l1 GROUP BY 1, 2, 3) s ON s.bin = b.bin AND s.y = g.y AND s.x = g.x) GROUP BY bin"
 )
 def view_p90(spark, d):
-    return views.view_percentile(views.fraction_view(_l1(spark, d), 10), GEOM, 0.9).withColumn("p", F.round("p", 6))
+    raw = raw_frames(spark, d)
+    view = views.fraction_view(frames.reduce_l1(raw, _dark(spark), EPS, GEOM), 10)
+    return views.view_percentile(view, GEOM, 0.9, raw.select(F.expr("cast(frame_id div 10 as int)").alias("bin"))).withColumn("p", F.round("p", 6))
 
 
-@query("SELECT i::INT AS i, y, x, floor(med + 2.5 * i)::INT AS t FROM (SELECT y, x, median(adu) AS med FROM dk GROUP BY 1, 2), (SELECT unnest(range(4)) AS i)")
+@query("SELECT i::INT AS i, y, x, floor(med + 2.5 * i)::INT AS t FROM (SELECT y, x, median(adu) AS med FROM raw GROUP BY 1, 2), (SELECT unnest(range(4)) AS i)")
 def sigma_thresholds(spark, d):
-    return calibration.sigma_thresholds(calibration.pixel_stats(_dark_px(spark)), 2.5, 4)
+    return calibration.sigma_thresholds(tiles.pixel_stats(_hist(spark, d), GEOM), 2.5, 4)
 
 
-_ZC = ", med AS (SELECT y, x, median(adu) AS m FROM dk GROUP BY 1, 2), zc AS (SELECT (adu - m)::DOUBLE AS d FROM dk JOIN med USING (y, x)), en AS (SELECT min(d) AS lo, max(d) AS hi FROM zc)"
+_ZC = ", med AS (SELECT y, x, median(adu) AS m FROM raw GROUP BY 1, 2), zc AS (SELECT (adu - m)::DOUBLE AS d FROM raw JOIN med USING (y, x)), en AS (SELECT min(d) AS lo, max(d) AS hi FROM zc)"
 
 
 @query("SELECT least(100, floor((d - lo) * 100 / (hi - lo)) + 1)::INT AS bin, count(*) AS n FROM zc, en GROUP BY 1", BASE + _ZC)
 def zero_centred_hist(spark, d):
-    px = _dark_px(spark)
-    return calibration.equal_histogram(calibration.zero_centred(px, calibration.pixel_stats(px))).select("bin", "n")
+    return calibration.equal_histogram(tiles.deviations(_hist(spark, d)), weight="n").select("bin", "n")
 
 
 @query("SELECT round(sum(c * n) / sum(n), 6) AS mean, round(sqrt(sum(c * c * n) / sum(n) - (sum(c * n) / sum(n)) ^ 2), 6) AS sigma FROM (SELECT d::DOUBLE AS c, count(*)::DOUBLE AS n FROM zc GROUP BY 1)", BASE + _ZC)
 def histogram_moments(spark, d):
-    px = _dark_px(spark)
-    h = calibration.zero_centred(px, calibration.pixel_stats(px)).groupBy(F.col("d").cast("double").alias("c")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    h = tiles.deviations(_hist(spark, d)).select(F.col("d").alias("c"), F.col("n").cast("double").alias("n"))
     return calibration.histogram_moments(h).select(F.round("mean", 6).alias("mean"), F.round("sigma", 6).alias("sigma"))
 
 
+_LAST = """, med AS (SELECT y, x, median(adu) AS m FROM raw GROUP BY 1, 2), late AS (SELECT frame_id FROM fr ORDER BY frame_id DESC LIMIT 40),
+sf AS (SELECT i, frame_id, y, x, (y * 64 + x)::BIGINT AS id FROM raw JOIN late USING (frame_id) JOIN med USING (y, x), (SELECT unnest(range(4)) AS i) WHERE adu > floor(m + 60.0 * (i + 1))),
+sr AS (SELECT i, frame_id, id, y, x, id AS lab FROM sf
+       UNION SELECT f.i, f.frame_id, f.id, f.y, f.x, sr.lab FROM sr JOIN sf f ON f.i = sr.i AND f.frame_id = sr.frame_id AND abs(f.y - sr.y) <= 1 AND abs(f.x - sr.x) <= 1 AND sr.lab < f.id),
+se AS (SELECT i, count(DISTINCT (frame_id, lab)) AS n_events FROM (SELECT i, frame_id, id, min(lab) AS lab FROM sr GROUP BY 1, 2, 3) GROUP BY 1)"""
+
+
+@query("SELECT i::INT AS i, n_frames, n_events, n_fg FROM (SELECT i, count(*) AS n_fg FROM sf GROUP BY 1) JOIN se USING (i), (SELECT count(*) AS n_frames FROM late)", BASE + _LAST)
+def sigma_events(spark, d):
+    """Events and foreground of the last 40 frames at four thresholds over the median, all from one pass."""
+    raw = raw_frames(spark, d)
+    med = tiles.pixel_stats(_hist(spark, d), GEOM).select("y", "x", (F.col("med") + 60.0).alias("med"))
+    least = raw.select("frame_id").orderBy(F.desc("frame_id")).limit(40).agg(F.min("frame_id")).first()[0]
+    return calibration.sigma_counts(raw.where(F.col("frame_id") >= least), med, 60.0, 4, GEOM)
+
+
+@query("SELECT frame_id, lab, area, w + 400 * area AS w FROM ev", BASE + EVENTS)
+def l4_dark_weights(spark, d):
+    return frames.events(raw_frames(spark, d), _dark(spark), EPS, GEOM, weights="dark").select("frame_id", "lab", "area", "w")
+
+
+@query("SELECT frame_id, y, string_agg(adu::VARCHAR || ' ', '' ORDER BY x) AS line FROM raw GROUP BY 1, 2")
+def text_lines(spark, d):
+    return views.text_lines(raw_frames(spark, d), GEOM)
+
+
+@query("SELECT metric, value::DOUBLE AS value FROM (SELECT unnest(['last_frame', 'raw_bytes', 'reduced_bytes', 'run_frames', 'run_pixels']) AS metric, unnest([max(frame_id), count(*) * 8192, sum(512 + (n * 12 + 7) // 8), count(*), sum(n)]) AS value FROM (SELECT fr.frame_id, count(v) AS n FROM fr LEFT JOIN l1 USING (frame_id) GROUP BY 1))")
+def run_metrics(spark, d):
+    """Figures of a run, observed while its records are made."""
+    packed = frames.pack_frames(raw_frames(spark, d), _dark(spark), EPS, GEOM)
+    found = metrics.measured(packed, GEOM, lambda r: r.write.format("noop").mode("overwrite").save())
+    return metrics.metric_rows(spark, {k: v for k, v in found.items() if k not in ("run_ms", "compressed_bytes")})
+
+
+@query("SELECT frame_id, y, x, v FROM l1")
+def sql_unpack_frame(spark, d):
+    """Records unpacked in plain SQL by the table function."""
+    register_functions(spark)
+    frames.pack_frames(raw_frames(spark, d), _dark(spark), EPS, GEOM).createOrReplaceTempView("packed_records")
+    return spark.sql("SELECT r.frame_id, p.y, p.x, p.v FROM packed_records r, LATERAL unpack_frame(r.bitmap, r.vals, 12, 'zlib', 64, 4096) p")
+
+
+@query("SELECT frame_id, count(*) AS n, sum(y * 64 + x)::BIGINT AS places, sum(v)::BIGINT AS sum_v, ((count(*) * 12 + 7) // 8)::INT AS packed FROM l1 GROUP BY 1")
+def sql_pack_round_trip(spark, d):
+    """Pixels packed and unpacked again by SQL functions."""
+    register_functions(spark)
+    _l1(spark, d).createOrReplaceTempView("sparse_pixels")
+    return spark.sql(
+        """WITH s AS (SELECT frame_id, array_sort(collect_list(struct(y * 64 + x AS i, v AS v))) AS px FROM sparse_pixels GROUP BY frame_id),
+        p AS (SELECT frame_id, size(px) AS k, pack_bits(px.i, 4096) AS bits, pack_values(px.v, 12) AS vals FROM s)
+        SELECT frame_id, cast(k AS long) AS n, aggregate(unpack_bits(bits, 4096), 0L, (a, i) -> a + i) AS places, aggregate(unpack_values(vals, 12, k), 0L, (a, v) -> a + v) AS sum_v, octet_length(vals) AS packed FROM p"""
+    )
+
+
 _RECAL = "SELECT frame_id, y, x, v::INT AS v FROM (SELECT fr.frame_id, g.y, g.x, least(65535, greatest(0, coalesce(l1.v, 0) + g.t - (g.t + (g.y + g.x) % 7 - 3 + {eps}))) AS v FROM fr CROSS JOIN dark g LEFT JOIN l1 ON l1.frame_id = fr.frame_id AND l1.y = g.y AND l1.x = g.x) WHERE v > 0"
 
 
@@ -363,11 +420,10 @@ def fft_view(spark, d):
 
 @query()
 def gaussian_sigma(spark, d):
-    px = _dark_px(spark)
-    return spark.createDataFrame([(calibration.global_sigma(px, calibration.pixel_stats(px)),)], "sigma double")
+    return spark.createDataFrame([(calibration.global_sigma(tiles.deviations(_hist(spark, d))),)], "sigma double")
 
 
 @query()
 def calibration_report(spark, d):
-    _, report, _ = calibration.sigma_report(raw_frames(spark, d), _dark_px(spark), GEOM, 3)
+    _, report, _ = calibration.sigma_report(raw_frames(spark, d), GEOM, 3, n_stats=40)
     return report
