@@ -135,6 +135,17 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of docs has, in whatever case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just (doc_id, text): other columns, whatever their names, play no part."""
     bounded_batches(docs.sparkSession)

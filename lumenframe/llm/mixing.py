@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Bytes of rate tables that may be broadcast (a table row is at most about 24 bytes and 8 for each count).
 BROADCAST_BYTES = 8 << 20
 
@@ -64,22 +66,23 @@ def replicate(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "sou
     table = rates(docs, source_col, weights, power, epochs)
     ident = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
     names = list(docs.columns)
-    src, tag = "__mix_src", "__mix_u"
+    src, tag, salt, times, place = fresh(docs, "__mix_src", "__mix_u", "__mix_salt", "__mix_n", "__mix_key")
     left = docs.withColumn(src, F.col(f"`{source_col}`")).withColumn(tag, _hash52(F.lit(str(seed)), ident) / F.lit(float(1 << 52)))
     size = table.agg(F.sum(24 + 8 * F.size("cdf") + F.coalesce(F.octet_length(F.col("src").cast("string")), F.lit(0)))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         joined = left.join(F.broadcast(table), left[src].eqNullSafe(table["src"]))
     else:  # too many sources: both sides are dealt by source and a salt, so that no large source meets in one task
         salts = 64
-        left = left.withColumn("__mix_salt", F.pmod(F.xxhash64(tag), F.lit(salts)).cast("int"))
-        right = table.withColumn("__mix_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = left.join(right, left[src].eqNullSafe(right["src"]) & (left["__mix_salt"] == right["__mix_salt"]))
-    count = F.size(F.filter("cdf", lambda c: c <= F.col(tag)))
-    out = joined.withColumn("__mix_n", count).where("__mix_n > 0").select(*[left[f"`{c}`"] for c in names], F.explode(F.sequence(F.lit(1), F.col("__mix_n"))).alias(copy_col))
+        left = left.withColumn(salt, F.pmod(F.xxhash64(tag), F.lit(salts)).cast("int"))
+        right = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = left.join(right, left[src].eqNullSafe(right["src"]) & (left[salt] == right[salt]))
+    # columns are told apart by their tables: docs may have ones called src, rate or cdf
+    count = F.size(F.filter(table["cdf"], lambda c: c <= left[tag]))
+    out = joined.select(*[left[f"`{c}`"] for c in names], count.alias(times)).where(F.col(times) > 0).select(*[F.col(f"`{c}`") for c in names], F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy_col))
     if not shuffle:
         return out
-    key = _hash52(F.lit(f"{seed}/order"), ident, F.col(copy_col).cast("string"))
-    return out.withColumn("__mix_key", key).sort("__mix_key").drop("__mix_key")
+    key = _hash52(F.lit(f"{seed}/order"), ident, F.col(f"`{copy_col}`").cast("string"))
+    return out.withColumn(place, key).sort(place).drop(place)
 
 
 def op8_mixing(spark, sf_dir):

@@ -244,7 +244,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **kw) -> Da
     """docs without those that nearly repeat a document with a smaller id; all columns stay."""
     gone = written(near_duplicates(docs, id_col=id_col, **kw).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "near-gone")
     few = 32 * gone.count() <= BROADCAST_BYTES
-    return docs.join(F.broadcast(gone) if few else gone, F.col(f"`{id_col}`").cast("long") == F.col("gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, docs[f"`{id_col}`"].cast("long") == gone["gone"], "left_anti")
 
 
 def op5_near_dedup(spark, sf_dir):
