@@ -80,12 +80,12 @@ def splitters(rows: DataFrame, n_ranges: int, total: int, cut: Column, draws: in
     share = max(1.0, total / n_ranges)
     bounds = _quantiles(_draw(rows, F.col("w") * F.lit(draws / share), cut, 0), n_ranges)
     stuck: set[tuple] = set()
-    for salt in range(1, 9):
+    for salt in range(1, 10):
         ranged = rows.withColumn("range", _range_of(bounds))
         found = {r["range"]: r for r in ranged.groupBy("range").agg(F.sum("w").alias("w"), F.sum(F.col("n") * F.col("size")).alias("bytes"), F.sum("n").alias("n")).collect()}
         start = lambda k: bounds[k - 1] if k else None
         over = [k for k, r in found.items() if r.w > 2 * share and start(k) not in stuck]
-        if not over:
+        if not over or salt == 9:
             break
         again = ranged.where(F.col("range").isin(over))
         drawn = _draw(again, F.col("w") * F.lit(draws / share), cut, salt)
