@@ -41,11 +41,13 @@ def seeded(seed: int, n: int = 1) -> np.ndarray:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the driver and all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary folder stands
-    in only where that is unset (single-machine sessions, tests).
+    The folder is the session's ``spark.checkpoint.dir``; where that is unset a temporary folder stands
+    in on a single machine, and a cluster, whose machines would each have their own, is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.gettempdir() + "/lumenframe-checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
