@@ -140,10 +140,17 @@ def compare(docs: DataFrame, pairs: DataFrame, width: int, edits: bool = False)
     """
     spark = docs.sparkSession
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("salts"))
-    tasks = pairs.join(sizes, "hub").select("hub", "member", F.pmod(F.xxhash64("member", "hub"), F.col("salts")).cast("int").alias("salt"))
+    # only hubs with more than one salt, one in GROUP_ROWS pairs at most, have to be told to their pairs
+    crowded = written(sizes.where("salts > 1"), "near-hubs")
+    if 32 * crowded.count() <= BROADCAST_BYTES:
+        salted = pairs.join(F.broadcast(crowded), "hub", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    else:
+        salted = pairs.join(sizes, "hub")
+    tasks = salted.select("hub", "member", F.pmod(F.xxhash64("member", "hub"), F.col("salts")).cast("int").alias("salt"))
     mine = tasks.groupBy(F.col("member").alias("doc_id")).agg(F.collect_list(F.struct("hub", "salt")).alias("hubs"))
     plan = mine.join(sizes.withColumnRenamed("hub", "doc_id"), "doc_id", "full_outer")
     plan = written(plan, "near-plan")
+    discard(crowded)
     size = plan.agg(F.sum(F.lit(48) + 32 * F.coalesce(F.size("hubs"), F.lit(0)))).first()[0] or 0
     few = size <= BROADCAST_BYTES
     texts = docs.join(F.broadcast(plan) if few else plan, "doc_id").select("doc_id", "hubs", "salts", "text")
