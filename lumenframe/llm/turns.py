@@ -59,10 +59,15 @@ def _states(a: Column, s: Column, u: Column, b: Column) -> Column:
     return F.struct(a.alias("none"), s.alias("s"), u.alias("u"), b.alias("a"))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _inserted(x: Column) -> Column:
     """States after any turns that are put in here; more than two would only lead in a circle."""
     into_u = F.least(x["u"], _way(INSERT, "I", "U", x["none"]), _way(INSERT, "I", "U", x["s"]))
-    return _states(x["none"], x["s"], F.least(into_u, _way(INSERT, "I", "U", x["a"])), F.least(x["a"], _way(INSERT, "I", "A", into_u)))
+    return _let(into_u, lambda u: _states(x["none"], x["s"], F.least(u, _way(INSERT, "I", "U", x["a"])), F.least(x["a"], _way(INSERT, "I", "A", u))))
 
 
 def _taken(x: Column, t: Column) -> Column:
@@ -106,7 +111,7 @@ def repair(turns: DataFrame) -> DataFrame:
         )
     )
     state = lambda cost: F.struct(F.lit(cost).cast("long").alias("cost"), F.lit("").alias("audit"), F.lit("").alias("shape"))
-    ends = F.aggregate("turns", _states(state(0), *[state(_NEVER)] * 3), lambda x, t: _taken(_inserted(x), t), _inserted)
+    ends = F.aggregate("turns", _states(state(0), *[state(_NEVER)] * 3), lambda x, t: _let(_inserted(x), lambda y: _taken(y, t)), _inserted)
     best = conv.withColumn("ends", ends).withColumn("best", F.least("ends.none", "ends.a"))
     return best.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "best.cost", "best.audit", F.expr(_LINES).alias("repaired"))
 
