@@ -63,7 +63,7 @@ def plain_verdicts(rows, labels, risk, delta):
 
 EXTREMES = {
     "symbols": lambda r, w: " ".join(x + "#*" for x in w),
-    "repeated_lines": lambda r, w: "\n".join(" ".join(w[k : k + 3]) for k in range(0, 30, 3)) + "\nab cd\nab cd\nab cd\nab cd",
+    "repeated_lines": lambda r, w: "\n".join(" ".join(w[k : k + 3]) for k in range(0, 30, 3)) + "\nab cd\nab cd\nab cd",
     "repeated_words": lambda r, w: " ".join([*w[:40], *w[:4], w[44], *w[:5], w[45]]),
     "capitals": lambda r, w: " ".join(w).upper(),
     "long_words": lambda r, w: " ".join(x * 6 for x in w),
