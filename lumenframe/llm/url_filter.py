@@ -9,12 +9,14 @@ the few that pass are joined with the list, which removes false positives.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import mix, partitions, written
 
 #: Bytes of the Bloom filter at most: 16 bits a key up to 2^24 listed URLs, fewer a key beyond.
 FILTER_BYTES = 32 << 20
@@ -22,6 +24,8 @@ FILTER_BYTES = 32 << 20
 _SEGMENT = 1 << 15
 #: Bytes of listed URLs that may be broadcast for the exact join; larger lists are shuffled by key.
 BROADCAST_BYTES = 8 << 20
+#: Page keys of one listed URL that may meet in one place of the shuffled join, and listed URLs at most that are dealt to several places.
+CROWD, CROWDED = 1 << 16, 1 << 18
 _U = np.uint64
 
 
@@ -99,7 +103,22 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, *, url_col: str = "url", default: str = "allow", keep: list[str] = (), filter_bytes: int = FILTER_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def _dealt(hits: DataFrame, rules: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """hits and rules with a salt each: keys of more than ``crowd`` hits are dealt to several places, and their rules repeated in each; hits without a key are dealt everywhere.
+
+    Keys are counted before they are shuffled.  At most ``CROWDED`` keys are crowded, as there are no more with so many hits each; they are broadcast.
+    """
+    least = max(crowd, hits.where("key IS NOT NULL").count() // CROWDED)
+    crowded = hits.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("key", F.ceil(F.col("n") / least).cast("int").alias("salts"))
+    crowded = written(crowded, "url-crowds")
+    salts = F.coalesce("salts", F.lit(1))
+    places = F.when(F.col("key").isNull(), F.lit(partitions(hits.sparkSession))).otherwise(salts)
+    spread = F.pmod(F.xxhash64("url", *[c for c in hits.columns if c.startswith("keep_")]), places).cast("int")
+    dealt = hits.join(F.broadcast(crowded), "key", "left").withColumn("salt", spread).drop("salts")
+    return dealt, rules.join(F.broadcast(crowded), "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, *, url_col: str = "url", default: str = "allow", keep: list[str] = (), filter_bytes: int = FILTER_BYTES, broadcast_bytes: int = BROADCAST_BYTES, crowd: int = CROWD) -> DataFrame:
     """(*keep, url, host, path, rule, verdict) of every row of pages.
 
     ``listed`` has rows (host, path, verdict).  A listed URL fits its host and all
@@ -137,10 +156,15 @@ def filter_urls(pages: DataFrame, listed: DataFrame, *, url_col: str = "url", de
 
     rows = rows.mapInArrow(possible, rows.schema)
     hits = rows.select(*ids, "url", "host", "path", "copies", F.explode_outer("keys").alias("key"))
-    exact = F.broadcast(rules) if (size.bytes or 0) <= broadcast_bytes else rules
+    if (size.bytes or 0) <= broadcast_bytes:
+        exact, same = F.broadcast(rules), ["key"]
+    else:
+        hits, exact = _dealt(written(hits, "url-hits"), rules, crowd)
+        same = ["key", "salt"]
     fits = F.col("path").startswith(F.col("rule_path")) & ((F.col("host") == F.col("rule_host")) | F.col("host").endswith(F.concat(F.lit("."), F.col("rule_host"))))
     best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.char_length("rule").alias("n"), F.char_length("rule_host").alias("m"), F.col("rule"), F.col("rule_verdict")))).alias("best")
-    judged = hits.join(exact, (hits["key"] == exact["key"]) & fits, "left").groupBy(*ids, "url", "host", "path", "copies").agg(best)
+    equal = functools.reduce(lambda a, b: a & b, [hits[c] == exact[c] for c in same])
+    judged = hits.join(exact, equal & fits, "left").groupBy(*ids, "url", "host", "path", "copies").agg(best)
     out = judged.withColumn("c", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.select(*[F.col(i).alias(c) for i, c in zip(ids, names)], "url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
 
