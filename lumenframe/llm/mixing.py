@@ -8,10 +8,10 @@ by their counts and shuffled globally by a hash of id and copy.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, partitions
 
 #: Bytes of rate tables that may be broadcast (a table row is at most about 24 bytes and 8 for each count).
 BROADCAST_BYTES = 8 << 20
@@ -41,17 +41,13 @@ def rates(docs: DataFrame, source_col: str = "source", weights: dict[str, float]
     shares = counts.withColumn("w", share)
     total = shares.agg(F.sum("w").alias("all_w"), F.sum("n").alias("all_n"))
     rated = shares.crossJoin(F.broadcast(total)).select("src", F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w") * F.col("all_n") * float(epochs) / F.col("n")).otherwise(0.0).alias("rate"))  # total is one row
-    # log p(k) = -rate + k ln(rate) - ln k!, summed up so that no term under- or overflows
-    cdf = F.expr(
-        """CASE WHEN rate <= 0 THEN array(1D) ELSE aggregate(
-             sequence(1, cast(ceil(rate + 12 * sqrt(rate) + 24) as int)),
-             struct(-rate as lp, exp(-rate) as c, array(exp(-rate)) as cs),
-             (a, k) -> struct(a.lp + ln(rate) - ln(k) as lp,
-                              a.c + exp(a.lp + ln(rate) - ln(k)) as c,
-                              array_append(a.cs, a.c + exp(a.lp + ln(rate) - ln(k))) as cs),
-             a -> a.cs) END"""
-    )
-    return rated.select("src", "rate", cdf.alias("cdf"))
+    # log p(k) = -rate + k ln(rate) - ln k!, summed up row by row so that no term under- or overflows and no step copies what came before
+    most = F.when(F.col("rate") > 0, F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 24)).otherwise(0).cast("int")
+    terms = rated.select("src", "rate", F.explode(F.sequence(F.lit(0), most)).alias("k"))
+    upto = Window.partitionBy("src").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = F.when(F.col("rate") <= 0, F.lit(0.0)).when(F.col("k") == 0, -F.col("rate")).otherwise(F.ln("rate") - F.ln("k"))
+    summed = terms.withColumn("lp", F.sum(step).over(upto)).withColumn("c", F.sum(F.exp("lp")).over(upto))
+    return summed.groupBy("src").agg(F.first("rate").alias("rate"), F.array_sort(F.collect_list(F.struct("k", "c")))["c"].alias("cdf"))
 
 
 def replicate(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, power: float = 0.5, epochs: float = 1.0, seed: int = 17, copy_col: str = "copy", shuffle: bool = True) -> DataFrame:
@@ -72,7 +68,7 @@ def replicate(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "sou
     if size <= BROADCAST_BYTES:
         joined = left.join(F.broadcast(table), left[src].eqNullSafe(table["src"]))
     else:  # too many sources: both sides are dealt by source and a salt, so that no large source meets in one task
-        salts = 64
+        salts = partitions(docs.sparkSession)
         left = left.withColumn(salt, F.pmod(F.xxhash64(tag), F.lit(salts)).cast("int"))
         right = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = left.join(right, left[src].eqNullSafe(right["src"]) & (left[salt] == right[salt]))

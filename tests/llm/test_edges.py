@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import math
 import re
 
 import numpy as np
@@ -228,7 +229,7 @@ def test_url_filter(spark):
         return (host, path, max(fit)[1], max(fit)[2]) if fit else (host, path, None, "allow")
 
     want = sorted(((i, *plain(u)) for i, u in rows), key=str)
-    for kw in ({}, {"filter_bytes": 64, "broadcast_bytes": 0}):
+    for kw in ({}, {"filter_bytes": 64, "broadcast_bytes": 0}, {"filter_bytes": 64, "broadcast_bytes": 0, "crowd": 1}):
         got = url_filter.filter_urls(df, url_filter.rules_table(spark), keep=["page_id"], **kw).select("page_id", "host", "path", "rule", "verdict")
         assert sorted(map(tuple, got.collect()), key=str) == want
     assert url_filter.filter_urls(df.limit(0), url_filter.rules_table(spark), keep=["page_id"]).count() == 0
@@ -311,6 +312,19 @@ def test_mixing(spark, docs, none):
         mixing.replicate(docs.withColumn("copy", docs.n))
 
 
+def test_mixing_counts_are_poisson_at_high_rates(spark):
+    few = spark.createDataFrame([(i, "rare" if i else None) for i in range(4)], "doc_id long, source string")
+    for r in mixing.rates(few, power=0.0, epochs=1500.0).collect():
+        assert abs(r.rate - (1000 if r.src else 3000)) < 1e-6
+        lp, total, plain = -r.rate, 0.0, []
+        for k in range(len(r.cdf)):
+            lp += math.log(r.rate / k) if k else 0.0
+            total += math.exp(lp)
+            plain.append(total)
+        assert np.allclose(r.cdf, plain, rtol=0, atol=1e-10) and abs(r.cdf[-1] - 1) < 1e-9
+    assert [(r.rate, r.cdf) for r in mixing.rates(few, weights={}).where("src IS NULL").collect()] == [(0.0, [1.0])]
+
+
 def test_passages(docs, none):
     found = {(r.x, r.y) for r in substring_near.near_passages(docs).collect()}
     assert (9, 8) in found and (7, 6) in found
