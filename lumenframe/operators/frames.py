@@ -17,6 +17,8 @@ from ..functions import codecs, kernels
 
 #: Pixels of the largest calibration frame that goes to the tasks (8 bytes each).
 CALIBRATION_PIXELS = 1 << 25
+#: Bytes of frames that a kernel works on at once.
+SLICE_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -31,6 +33,10 @@ class Geometry:
     def pixels(self) -> int:
         return self.ny * self.nx
 
+    @property
+    def nbytes(self) -> int:
+        return self.pixels * np.dtype(self.dtype).itemsize
+
     def image(self, data) -> np.ndarray:
         flat = np.frombuffer(data, self.dtype)
         if len(flat) != self.pixels:
@@ -38,6 +44,34 @@ class Geometry:
         return flat
 
 
+def by_slices(work, size: int):
+    """A kernel for mapInArrow: the batch that ``work`` makes of each slice of the batches that come, or None for nothing.
+
+    A slice has rows for SLICE_BYTES, at ``size`` bytes each, and one at least: so what a task holds beside the batch that came hangs neither on Spark's
+    batches nor on the frames of a task.  A batch is let go before the next is read; what ``work`` gives must hold none of it.
+    """
+    rows = max(1, SLICE_BYTES // max(1, size))
+
+    def run(it):
+        for b in it:
+            for a in range(0, b.num_rows, rows):
+                out = work(b.slice(a, rows))
+                if out is not None:
+                    yield out
+                out = None
+            b = None
+
+    return run
+
+
+def _sparse_batch(f: list, at: list, v: list, geom: Geometry) -> pa.RecordBatch | None:
+    """(frame_id, y, x, v) of lists of arrays, one of each for a frame."""
+    if not f:
+        return None
+    f, at, v = (np.concatenate(o) for o in (f, at, v))
+    return pa.RecordBatch.from_arrays([pa.array(f.astype(np.int64)), pa.array((at // geom.nx).astype(np.int32)), pa.array((at % geom.nx).astype(np.int32)), pa.array(v.astype(np.int32))], ["frame_id", "y", "x", "v"])
+
+
 def _frames(b: pa.RecordBatch, geom: Geometry):
     for f, data in zip(b.column(0).to_pylist(), b.column(1)):
         if data.is_valid:
@@ -137,34 +171,30 @@ def reduce_l1(frames: DataFrame, dark, eps: int, geom: Geometry) -> DataFrame:
     """(frame_id, y, x, v): pixels strictly above threshold + eps, less that.  Frames without one give no row; null frames neither."""
     t = frames.sparkSession.sparkContext.broadcast(_threshold(dark, eps, geom))
 
-    def run(it):
-        for b in it:
-            out = [[], [], []]
-            for f, img in _frames(b, geom):
-                at, v = t.value.foreground(img)
-                for o, c in zip(out, (np.full(len(at), f), at, v)):
-                    o.append(c)
-            if out[0]:
-                f, at, v = (np.concatenate(o) for o in out)
-                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array((at // geom.nx).astype(np.int32)), pa.array((at % geom.nx).astype(np.int32)), pa.array(v.astype(np.int32))], ["frame_id", "y", "x", "v"])
+    def work(b):
+        out = [[], [], []]
+        for f, img in _frames(b, geom):
+            at, v = t.value.foreground(img)
+            for o, c in zip(out, (np.full(len(at), f), at, v)):
+                o.append(c)
+        return _sparse_batch(*out, geom)
 
-    return _pair(frames).mapInArrow(run, "frame_id long, y int, x int, v int")
+    return _pair(frames).mapInArrow(by_slices(work, geom.nbytes), "frame_id long, y int, x int, v int")
 
 
 def frame_stats(frames: DataFrame, dark, eps: int, geom: Geometry) -> DataFrame:
     """(frame_id, n_fg, sum_v, max_v, min_v) of every frame, without making sparse rows."""
     t = frames.sparkSession.sparkContext.broadcast(_threshold(dark, eps, geom))
 
-    def run(it):
-        for b in it:
-            rows = []
-            for f, img in _frames(b, geom):
-                v = t.value.foreground(img)[1]
-                rows.append((f, len(v), int(v.sum()), int(v.max(initial=0)), int(v.min()) if len(v) else 0))
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["frame_id", "n_fg", "sum_v", "max_v", "min_v"])
+    def work(b):
+        rows = []
+        for f, img in _frames(b, geom):
+            v = t.value.foreground(img)[1]
+            rows.append((f, len(v), int(v.sum()), int(v.max(initial=0)), int(v.min()) if len(v) else 0))
+        cols = list(zip(*rows)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["frame_id", "n_fg", "sum_v", "max_v", "min_v"])
 
-    return _pair(frames).mapInArrow(run, "frame_id long, n_fg long, sum_v long, max_v int, min_v int")
+    return _pair(frames).mapInArrow(by_slices(work, geom.nbytes), "frame_id long, n_fg long, sum_v long, max_v int, min_v int")
 
 
 def events(frames: DataFrame, dark, eps: int, geom: Geometry, border: str = "keep", weights: str = "above") -> DataFrame:
@@ -177,18 +207,18 @@ def events(frames: DataFrame, dark, eps: int, geom: Geometry, border: str = "kee
     more = {"above": 0, "dark": int(eps)}[weights]
     t = frames.sparkSession.sparkContext.broadcast(_threshold(dark, eps, geom))
 
-    def run(it):
-        for b in it:
-            parts = [[], [], []]
-            for f, img in _frames(b, geom):
-                at, v = t.value.foreground(img)
-                for o, c in zip(parts, (np.full(len(at), f), at, v)):
-                    o.append(c)
-            if parts[0]:
-                f, at, v = (np.concatenate(o) for o in parts)
-                yield event_batch(kernels.event_rows(f, at // geom.nx, at % geom.nx, v + more, geom.ny, geom.nx, border))
+    def work(b):
+        parts = [[], [], []]
+        for f, img in _frames(b, geom):
+            at, v = t.value.foreground(img)
+            for o, c in zip(parts, (np.full(len(at), f), at, v)):
+                o.append(c)
+        if not parts[0]:
+            return None
+        f, at, v = (np.concatenate(o) for o in parts)
+        return event_batch(kernels.event_rows(f, at // geom.nx, at % geom.nx, v + more, geom.ny, geom.nx, border))
 
-    return _pair(frames).mapInArrow(run, EVENT)
+    return _pair(frames).mapInArrow(by_slices(work, geom.nbytes), EVENT)
 
 
 #: Packed records: the two streams of a frame and their sizes.
@@ -206,12 +236,11 @@ def pack_frames(frames: DataFrame, dark, eps: int, geom: Geometry, *, level: int
     options = dict(level=level, depth=depth, codec=codec, codec_level=codec_level, border=border, stat=stat, rounding=rounding, scale=scale, centroid=centroid)
     packer(None, geom, **options)  # bad options fail here
 
-    def run(it):
+    def work(b):
         pack = packer(t.value, geom, **options)
-        for b in it:
-            yield record_batch([pack(f, img) for f, img in _frames(b, geom)])
+        return record_batch([pack(f, img) for f, img in _frames(b, geom)])
 
-    return _pair(frames).mapInArrow(run, RECORD)
+    return _pair(frames).mapInArrow(by_slices(work, geom.nbytes), RECORD)
 
 
 _RECORD_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
@@ -277,21 +306,18 @@ def centroids(e: dict[str, np.ndarray], scheme: str = "weighted", rounding: str
 def unpack_records(records: DataFrame, geom: Geometry, *, depth: int = 12, codec: str | None = "zlib") -> DataFrame:
     """(frame_id, y, x, v) of packed records of any level; levels without values have v = 1.  A damaged record fails."""
 
-    def run(it):
-        for b in it:
-            out = [[], [], []]
-            for f, level, n, bitmap, vals in zip(*(b.column(k).to_pylist() for k in range(5))):
-                at = np.flatnonzero(kernels.unpack_bits(codecs.decompress(bitmap, codec) if codec else bitmap, geom.pixels))
-                if len(at) != n:
-                    raise ValueError(f"frame {f}: {len(at)} pixels, not {n}")
-                v = kernels.unpack_values(codecs.decompress(vals, codec) if codec else vals, depth, n) if level in (1, 2) else np.ones(n, np.int64)
-                for o, c in zip(out, (np.full(n, f), at, v)):
-                    o.append(c)
-            if out[0]:
-                f, at, v = (np.concatenate(o).astype(np.int64) for o in out)
-                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array((at // geom.nx).astype(np.int32)), pa.array((at % geom.nx).astype(np.int32)), pa.array(v.astype(np.int32))], ["frame_id", "y", "x", "v"])
+    def work(b):
+        out = [[], [], []]
+        for f, level, n, bitmap, vals in zip(*(b.column(k).to_pylist() for k in range(5))):
+            at = np.flatnonzero(kernels.unpack_bits(codecs.decompress(bitmap, codec) if codec else bitmap, geom.pixels))
+            if len(at) != n:
+                raise ValueError(f"frame {f}: {len(at)} pixels, not {n}")
+            v = kernels.unpack_values(codecs.decompress(vals, codec) if codec else vals, depth, n) if level in (1, 2) else np.ones(n, np.int64)
+            for o, c in zip(out, (np.full(n, f), at, v)):
+                o.append(c)
+        return _sparse_batch(*out, geom)
 
-    return records.select("frame_id", "level", "n", "bitmap", "vals").mapInArrow(run, "frame_id long, y int, x int, v int")
+    return records.select("frame_id", "level", "n", "bitmap", "vals").mapInArrow(by_slices(work, geom.nbytes), "frame_id long, y int, x int, v int")
 
 
 def dense(l1: DataFrame, geom: Geometry, frames: DataFrame | None = None) -> DataFrame:
@@ -300,18 +326,17 @@ def dense(l1: DataFrame, geom: Geometry, frames: DataFrame | None = None) -> Dat
     if frames is not None:
         rows = frames.select(F.col("frame_id").cast("long")).distinct().join(rows, "frame_id", "left")
 
-    def run(it):
-        for b in it:
-            out = []
-            for f, s in zip(b.column(0).to_pylist(), b.column(1)):
-                img = np.zeros(geom.pixels, geom.dtype)
-                if s.is_valid:
-                    flat = s.values
-                    img[flat.field("i").to_numpy()] = flat.field("v").to_numpy()
-                out.append(img.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["frame_id", "pixels"])
+    def work(b):
+        ids, out = b.column(0).to_pylist(), []
+        for s in b.column(1):
+            img = np.zeros(geom.pixels, geom.dtype)
+            if s.is_valid:
+                flat = s.values
+                img[flat.field("i").to_numpy()] = flat.field("v").to_numpy()
+            out.append(img.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["frame_id", "pixels"])
 
-    return rows.mapInArrow(run, "frame_id long, pixels binary")
+    return rows.mapInArrow(by_slices(work, geom.nbytes), "frame_id long, pixels binary")
 
 
 def recalibrate(l1: DataFrame, old, new, eps: int, geom: Geometry, frames: DataFrame | None = None) -> DataFrame:
@@ -334,19 +359,18 @@ def recalibrate(l1: DataFrame, old, new, eps: int, geom: Geometry, frames: DataF
 
         return l1.select(F.col("frame_id").cast("long"), F.col("y").cast("int"), F.col("x").cast("int"), F.col("v").cast("int")).mapInArrow(sparse, "frame_id long, y int, x int, v int")
 
-    def run(it):
-        for b in it:
-            out = [[], [], []]
-            for f, data in zip(b.column(0).to_pylist(), b.column(1)):
-                v = np.clip(np.frombuffer(data.as_buffer(), "<i4").astype(np.int64) + delta.value, 0, 65535)
-                at = np.flatnonzero(v)
-                for o, c in zip(out, (np.full(len(at), f), at, v[at])):
-                    o.append(c)
-            if out[0]:
-                f, at, v = (np.concatenate(o) for o in out)
-                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array((at // geom.nx).astype(np.int32)), pa.array((at % geom.nx).astype(np.int32)), pa.array(v.astype(np.int32))], ["frame_id", "y", "x", "v"])
-
-    return dense(l1, Geometry(geom.ny, geom.nx, "<i4"), frames).mapInArrow(run, "frame_id long, y int, x int, v int")
+    whole = Geometry(geom.ny, geom.nx, "<i4")
+
+    def work(b):
+        out = [[], [], []]
+        for f, img in _frames(b, whole):
+            v = np.clip(img.astype(np.int64) + delta.value, 0, 65535)
+            at = np.flatnonzero(v)
+            for o, c in zip(out, (np.full(len(at), f), at, v[at])):
+                o.append(c)
+        return _sparse_batch(*out, geom)
+
+    return dense(l1, whole, frames).mapInArrow(by_slices(work, whole.nbytes), "frame_id long, y int, x int, v int")
 
 
 def pixels(frames: DataFrame, geom: Geometry) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import Geometry
+from .frames import Geometry, by_slices
 
 
 def frame_range(frames: DataFrame, first: int = 0, count: int = -1) -> DataFrame:
@@ -110,19 +110,19 @@ def text_lines(frames: DataFrame, geom: Geometry) -> DataFrame:
 def spectrum(frames: DataFrame, geom: Geometry) -> DataFrame:
     """(frame_id, spectrum): log magnitude of the centred 2-D Fourier transform; noughts take the smallest finite value."""
 
-    def run(it):
-        for b in it:
-            out = []
-            for data in b.column(1):
-                mag = np.abs(np.fft.fftshift(np.fft.fft2(geom.image(data.as_buffer()).reshape(geom.ny, geom.nx))))
-                with np.errstate(divide="ignore"):
-                    s = np.log(mag)
-                finite = s[np.isfinite(s)]
-                s[~np.isfinite(s)] = finite.min() if len(finite) else 0.0
-                out.append(s.ravel())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], ["frame_id", "spectrum"])
-
-    return frames.select(F.col("frame_id").cast("long"), "pixels").where("pixels IS NOT NULL").mapInArrow(run, "frame_id long, spectrum array<double>")
+    def work(b):
+        ids, out = b.column(0).to_pylist(), np.empty((b.num_rows, geom.pixels))
+        for s, data in zip(out, b.column(1)):
+            mag = np.abs(np.fft.fftshift(np.fft.fft2(geom.image(data.as_buffer()).reshape(geom.ny, geom.nx))))
+            with np.errstate(divide="ignore"):
+                np.log(mag.ravel(), out=s)
+            finite = s[np.isfinite(s)]
+            s[~np.isfinite(s)] = finite.min() if len(finite) else 0.0
+        ends = pa.array(np.arange(len(out) + 1, dtype=np.int32) * geom.pixels)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], ["frame_id", "spectrum"])
+
+    # a spectrum has eight bytes a pixel
+    return frames.select(F.col("frame_id").cast("long"), "pixels").where("pixels IS NOT NULL").mapInArrow(by_slices(work, 8 * geom.pixels), "frame_id long, spectrum array<double>")
 
 
 def transposed(rows: DataFrame) -> DataFrame:

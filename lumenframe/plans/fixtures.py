@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.frames import Geometry
+from ..operators.frames import Geometry, by_slices
 
 GEOM = Geometry(64, 64)
 EPS = 400
@@ -28,16 +28,15 @@ def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = hits.groupBy("frame_id").agg(F.collect_list(F.struct("i", "q")).alias("s"))
 
-    def run(it):
-        for b in it:
-            out = []
-            for f, s in zip(b.column(0).to_pylist(), b.column(1)):
-                img = _noise(f)
-                np.add.at(img, s.values.field("i").to_numpy(), 16 * s.values.field("q").to_numpy().astype(np.int64))
-                out.append(np.minimum(4095, img).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["frame_id", "pixels"])
-
-    return rows.mapInArrow(run, "frame_id long, pixels binary")
+    def work(b):
+        ids, out = b.column(0).to_pylist(), []
+        for f, s in zip(ids, b.column(1)):
+            img = _noise(f)
+            np.add.at(img, s.values.field("i").to_numpy(), 16 * s.values.field("q").to_numpy().astype(np.int64))
+            out.append(np.minimum(4095, img).astype("<u2").tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["frame_id", "pixels"])
+
+    return rows.mapInArrow(by_slices(work, GEOM.nbytes), "frame_id long, pixels binary")
 
 
 def dark_frames(spark: SparkSession, n: int = 20) -> DataFrame:
