@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import codecs
+from .frames import by_slices
+
 #: Frames of a block of a running sum.
 BLOCK = 4096
 
@@ -106,7 +109,33 @@ def mismatch_share(a: DataFrame, b: DataFrame, key: str = "frame_id", value: str
 def size_ratios(sizes: DataFrame, raw_bytes: int) -> DataFrame:
     """Reduction, compression and overall ratios of (reduced, compressed) bytes, averaged over frames."""
     a = sizes.agg(F.avg("reduced").alias("reduced"), F.avg("compressed").alias("compressed"))
-    return a.select((F.lit(float(raw_bytes)) / F.col("reduced")).alias("rer"), (F.col("reduced") / F.col("compressed")).alias("cor"), (F.lit(float(raw_bytes)) / F.col("compressed")).alias("rcr"))
+    return a.select(*_ratios(raw_bytes))
+
+
+def _ratios(raw_bytes: int) -> list:
+    return [(F.lit(float(raw_bytes)) / F.col("reduced")).alias("rer"), (F.col("reduced") / F.col("compressed")).alias("cor"), (F.lit(float(raw_bytes)) / F.col("compressed")).alias("rcr")]
+
+
+def codec_ratios(records: DataFrame, names, raw_bytes: int) -> DataFrame:
+    """(codec, rer, cor, rcr): ``size_ratios`` of records packed without a codec (bitmap, vals), for each codec of ``names``; the records are made and read once for all of them."""
+    codecs_, names = list(names), ["codec", "reduced", "compressed"]
+    for codec in codecs_:
+        if codec not in codecs.CODEC_IDS:
+            raise ValueError(f"unknown codec {codec!r}")
+
+    def work(b):
+        rows = []
+        for streams in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if None not in streams:
+                n = sum(map(len, streams))
+                rows += [(c, n, sum(len(codecs.compress(s, c)) for s in streams)) for c in codecs_]
+        if not rows:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64()))], names)
+
+    sizes = records.select("bitmap", "vals").mapInArrow(by_slices(work, raw_bytes), "codec string, reduced long, compressed long")
+    a = sizes.groupBy("codec").agg(F.avg("reduced").alias("reduced"), F.avg("compressed").alias("compressed"))
+    return a.select("codec", *_ratios(raw_bytes))
 
 
 def metric_totals(metrics: DataFrame) -> DataFrame:

@@ -18,6 +18,12 @@ def _noise(frame_id: np.ndarray | int):
     return 100 + (y * 7 + x * 13) % 17 + (frame_id * 31 + y * 17 + x * 7) % 11
 
 
+def frame_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(frame_id): the ids of ``raw_frames``, each once, without their images."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return lines.select(F.expr("cast(l_orderkey div 100 as bigint)").alias("frame_id")).distinct()
+
+
 def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(frame_id, pixels): hits of the line items on a noisy background."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")

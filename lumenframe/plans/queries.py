@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import codecs
 from ..functions.scalar import ratio_rounded
 from ..functions.sql import register_functions
 from ..operators import calibration, components, frames, layout, metrics, tiles, views
 from ..streaming import chunks
-from .fixtures import BASE, EPS, EVENTS, GEOM, dark_frames, raw_frames
+from .fixtures import BASE, EPS, EVENTS, GEOM, dark_frames, frame_ids, raw_frames
 
 
 def _dark(spark):
@@ -405,12 +404,7 @@ def pack_roundtrip(spark, d):
 @query()
 def codec_sizes(spark, d):
     plain = frames.pack_frames(raw_frames(spark, d), _dark(spark), EPS, GEOM, codec=None)
-    out = None
-    for name in ("zlib", "zstd", "lz4", "snappy", "bz2", "lzma", "shuffle_zstd"):
-        s = plain.select((F.length("bitmap") + F.length("vals")).alias("reduced"), (F.length(codecs.compressed("bitmap", name)) + F.length(codecs.compressed("vals", name))).alias("compressed"))
-        row = layout.size_ratios(s, 2 * GEOM.pixels).select(F.lit(name).alias("codec"), "rer", "cor", "rcr")
-        out = row if out is None else out.unionByName(row)
-    return out
+    return layout.codec_ratios(plain, ("zlib", "zstd", "lz4", "snappy", "bz2", "lzma", "shuffle_zstd"), GEOM.nbytes)
 
 
 @query()

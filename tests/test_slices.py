@@ -81,3 +81,50 @@ def test_a_batch_is_let_go_before_the_next_is_read():
     run = by_slices(lambda s: s, SLICE_BYTES)
     # a caller that drops what it got, as the worker does on its next write
     assert sum(1 for _ in run(given())) == 9
+
+
+def _rows(out):
+    return [tuple(r.values()) for b in out for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("how", ["l1", "events", "dark", "dropped", "stats", "packed"])
+def test_kernels_give_slices_with_the_rows_of_each_frame_alone(given, how):
+    run = {
+        "l1": lambda f: frames.reduce_l1(f, DARK, 5, G),
+        "events": lambda f: frames.events(f, DARK, 5, G),
+        "dark": lambda f: frames.events(f, DARK, 5, G, weights="dark"),
+        "dropped": lambda f: frames.events(f, DARK, 5, G, border="drop"),
+        "stats": lambda f: frames.frame_stats(f, DARK, 5, G),
+        "packed": lambda f: frames.pack_frames(f, DARK, 5, G, codec=None),
+    }[how]
+    out = run(given)
+    assert max(len(_ids([b])) for b in out) * G.nbytes <= SLICE_BYTES
+    one = lambda k: _rows(run(Frames(given.sparkSession, given.batch.slice(k, 1)))[:1])
+    got = _rows(out)
+    for k in (0, 511, 512, 1024, N - 1):
+        want = one(k)
+        assert want and [r for r in got if r[0] == k] == want
+    assert len(set(r[0] for r in got)) == N - (how in ("l1", "events", "dark", "dropped"))
+
+
+def test_codecs_sizes_come_from_one_pass(spark):
+    from pyspark.sql import functions as F
+
+    from lumenframe.functions import codecs
+    from lumenframe.operators import layout
+
+    given = spark.createDataFrame([(b"abcd" * 40, b"q" * 30), (b"xy" * 9, b""), (None, b"z")], "bitmap binary, vals binary").repartition(2)
+    made = spark.sparkContext.accumulator(0)
+
+    def passes(it):
+        for b in it:
+            made.add(b.num_rows)
+            yield b
+
+    got = {r.codec: (r.rer, r.cor, r.rcr) for r in layout.codec_ratios(given.mapInArrow(passes, given.schema), ("zlib", "bz2", "shuffle_zstd"), 512).collect()}
+    assert made.value == 3 and set(got) == {"zlib", "bz2", "shuffle_zstd"}
+    for name, found in got.items():
+        s = given.select((F.length("bitmap") + F.length("vals")).alias("reduced"), (F.length(codecs.compressed("bitmap", name)) + F.length(codecs.compressed("vals", name))).alias("compressed"))
+        assert found == tuple(layout.size_ratios(s, 512).first())
+    with pytest.raises(ValueError):
+        layout.codec_ratios(given, ("zip",), 512)
