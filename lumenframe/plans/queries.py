@@ -110,8 +110,8 @@ def area_filter(spark, d):
 
 
 def _run_frames(spark, d):
-    """The frames and, after them, two that have nothing."""
-    f = raw_frames(spark, d).select("frame_id")
+    """The frames' ids and, after them, two that have nothing; no images are made for them."""
+    f = frame_ids(spark, d)
     return f.unionByName(f.agg(F.max("frame_id").alias("m")).select(F.explode(F.array(F.col("m") + 1, F.col("m") + 2)).alias("frame_id")))
 
 
@@ -137,8 +137,9 @@ def border_dropped_events(spark, d):
 )
 def mean_dose(spark, d):
     """Over the last hundred frames, two of them empty, numbered from nought."""
-    rates = components.dose_rate(_events(spark, d), GEOM, _run_frames(spark, d))
-    n, last = rates.agg(F.count(F.lit(1)), F.max("frame_id")).first()
+    run = _run_frames(spark, d)
+    rates = components.dose_rate(_events(spark, d), GEOM, run)
+    n, last = run.where("frame_id IS NOT NULL").distinct().agg(F.count(F.lit(1)), F.max("frame_id")).first()
     late = rates.where(F.col("frame_id") >= last - 99).withColumn("frame_id", F.col("frame_id") - (last - 99))
     return components.mean_dose(late, n).select(F.round("rate", 12).alias("rate"), "frames", "n_events")
 
@@ -348,7 +349,7 @@ def merge_parts(spark, d):
 
 @query("SELECT range::BIGINT AS frame_id FROM range((SELECT max(frame_id) + 1 FROM fr)) WHERE range NOT IN (SELECT frame_id FROM pt)", BASE + _PARTS)
 def missing_frames(spark, d):
-    n = raw_frames(spark, d).agg(F.max("frame_id")).first()[0] + 1
+    n = frame_ids(spark, d).agg(F.max("frame_id")).first()[0] + 1
     return layout.missing_frames(_parts(spark, d), n)
 
 
