@@ -197,6 +197,18 @@ def frame_stats(frames: DataFrame, dark, eps: int, geom: Geometry) -> DataFrame:
     return _pair(frames).mapInArrow(by_slices(work, geom.nbytes), "frame_id long, n_fg long, sum_v long, max_v int, min_v int")
 
 
+def pixel_sums(frames: DataFrame, geom: Geometry) -> DataFrame:
+    """(frame_id, n_px, sum_adu, max_adu, moment) of every frame: pixels, their sum, the greatest, and the sum of value times place.  Frames of one id count together; null frames don't."""
+
+    def work(b):
+        place = np.arange(geom.pixels)
+        rows = [(f, geom.pixels, int(v.sum()), int(v.max()), int(v @ place)) for f, v in ((f, img.astype(np.int64)) for f, img in _frames(b, geom))]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["frame_id", "n_px", "sum_adu", "max_adu", "moment"]) if rows else None
+
+    sums = _pair(frames).mapInArrow(by_slices(work, geom.nbytes), "frame_id long, n_px long, sum_adu long, max_adu long, moment long")
+    return sums.groupBy("frame_id").agg(*[F.sum(c).alias(c) for c in ("n_px", "sum_adu")], F.max("max_adu").alias("max_adu"), F.sum("moment").alias("moment"))
+
+
 def events(frames: DataFrame, dark, eps: int, geom: Geometry, border: str = "keep", weights: str = "above") -> DataFrame:
     """Connected components of every frame's foreground, thresholded and labelled in the same pass (see ``components.EVENT``).
 

@@ -37,8 +37,7 @@ def _written(spark, d, kind: str) -> DataFrame:
 
 
 def _sums(df: DataFrame) -> DataFrame:
-    px = frames.pixels(df.select("frame_id", "pixels"), GEOM)
-    return px.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n_px"), F.sum("adu").cast("long").alias("sum_adu"), F.max("adu").cast("long").alias("max_adu"), F.sum(F.expr(f"adu * (y * {GEOM.nx} + x)")).cast("long").alias("moment"))
+    return frames.pixel_sums(df.select("frame_id", "pixels"), GEOM)
 
 
 def _dense(name: str, where: str = ""):

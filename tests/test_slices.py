@@ -128,3 +128,11 @@ def test_codecs_sizes_come_from_one_pass(spark):
         assert found == tuple(layout.size_ratios(s, 512).first())
     with pytest.raises(ValueError):
         layout.codec_ratios(given, ("zip",), 512)
+
+
+def test_sums_of_frames_of_one_id_count_together(spark):
+    g = Geometry(2, 3)
+    a, b = np.array([1, 2, 3, 4, 5, 6], "<u2"), np.array([65535, 0, 0, 0, 0, 7], "<u2")
+    df = spark.createDataFrame([(1, a.tobytes()), (1, b.tobytes()), (2, None), (None, a.tobytes())], "frame_id long, pixels binary")
+    got = {tuple(r) for r in frames.pixel_sums(df, g).collect()}
+    assert got == {(1, 12, 21 + 65542, 65535, 70 + 35), (None, 6, 21, 6, 70)}
