@@ -175,10 +175,8 @@ def seq_arrivals(spark, d):
     """SEQ chunks of 20 frames that arrive in a folder, as a stream that numbers frames over all chunks; the last chunk may not be whole yet and stays."""
     readers.register(spark)
     src, out, at = (_folder(spark, f"arrivals-{k}") for k in ("in", "out", "state"))
-    rows = raw_frames(spark, d)
-    n = rows.agg(F.max("frame_id")).first()[0] // 20 + 1
-    dealt = rows.repartitionById(n, F.expr("cast(frame_id div 20 as int)")).sortWithinPartitions("frame_id")
-    dealt.write.format("seq").mode("overwrite").option("ny", GEOM.ny).option("nx", GEOM.nx).option("sorted", "true").save(src)
+    dealt = raw_frames(spark, d).repartition(F.expr("frame_id div 20")).sortWithinPartitions("frame_id")
+    dealt.write.format("seq").mode("overwrite").option("ny", GEOM.ny).option("nx", GEOM.nx).option("sorted", "true").option("frames_per_file", 20).save(src)
     stream = arrivals.arriving(spark, src, store.join(at, "log"), order="name", frames_per_partition=8)
     stream.select("frame_id", "pixels").writeStream.format("parquet").option("path", out).option("checkpointLocation", store.join(at, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     return _sums(spark.read.parquet(out))

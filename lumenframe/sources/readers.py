@@ -332,6 +332,10 @@ class HeaderReader(DataSourceReader):
 class _Done(WriterCommitMessage):
     written: str
     final: str
+    more: tuple = ()  # (written, final) of further files
+
+    def files(self):
+        return [f for f in [(self.written, self.final), *self.more] if f[0]]
 
 
 class _FileWriter(DataSourceWriter):
@@ -351,16 +355,18 @@ class _FileWriter(DataSourceWriter):
 
     def commit(self, messages):
         """What is overwritten goes only now: a job that fails leaves it."""
+        files = [f for m in messages if m for f in m.files()]
+        if len({final for _, final in files}) < len(files):
+            raise ValueError("several tasks have frames of one file")
         for p in self.before:
             store.delete(p)
-        for m in messages:
-            if m and m.written:
-                store.move(m.written, m.final)
+        for written, final in files:
+            store.move(written, final)
 
     def abort(self, messages):
         for m in messages:
-            if m and m.written:
-                store.delete(m.written)
+            for written, _ in m.files() if m else ():
+                store.delete(written)
 
 
 def _in_order(rows, key, stream: bool):
@@ -381,6 +387,9 @@ class DenseWriter(_FileWriter):
 
     With ``sorted`` rows must come in this order, and are written as they come; else a task holds its rows to sort them.  The number of frames
     in a header is put in at the end, where the store can write there; else a task's rows are held.
+
+    A task writes one file by its own number or, with ``frames_per_file``, one for every so many frame ids, by the number that these have in common; the rows of
+    such a file must lie in one task.
     """
 
     def __init__(self, options, overwrite, kind):
@@ -394,31 +403,32 @@ class DenseWriter(_FileWriter):
         ny, nx = (int(o[k]) if k in o else 0 for k in ("ny", "nx"))
         prefix, local = int(o.get("record_prefix", 0)), store.is_local(self.path)
         frames = _in_order(((r["frame_id"], bytes(r["pixels"])) for r in rows), lambda r: r[0], str(o.get("sorted", "false")).lower() == "true")
-        if self.kind != "raw" and not local:
-            frames = list(frames)
-        n_known = len(frames) if isinstance(frames, list) else 0
-        frames = iter(frames)
-        first = next(frames, None)
-        if first is None:
-            return _Done("", "")  # no rows, no file
+        per = int(o.get("frames_per_file", 0))
 
         def head(n):
             if self.kind == "mrc":
                 return headers.write_mrc_header(nx, ny, n, int(o.get("mode", 6)))
             return headers.write_seq_header(nx, ny, n).ljust(headers.SEQ_DATA, b"\0") if self.kind == "seq" else b""
 
-        tmp, final = self._open(f"{o.get('stem', 'frames')}_{task:03d}.{ {'raw': 'bin'}.get(self.kind, self.kind)}")
-        with store.open_write(tmp) as f:
-            f.write(head(n_known))
-            n = 0
-            for k, data in itertools.chain([first], frames):
-                if self.kind == "raw" and prefix:
-                    f.write(int(k).to_bytes(prefix, "little"))
-                f.write(data.ljust(-(-len(data) // 1024) * 1024, b"\0") if self.kind == "seq" else data)
-                n += 1
-        if self.kind != "raw" and n != n_known:
-            store.patch(tmp, 0, head(n))
-        return _Done(tmp, final)
+        def put(number, frames):
+            if self.kind != "raw" and not local:
+                frames = list(frames)
+            n_known = len(frames) if isinstance(frames, list) else 0
+            tmp, final = self._open(f"{o.get('stem', 'frames')}_{number:03d}.{ {'raw': 'bin'}.get(self.kind, self.kind)}")
+            with store.open_write(tmp) as f:
+                f.write(head(n_known))
+                n = 0
+                for k, data in frames:
+                    if self.kind == "raw" and prefix:
+                        f.write(int(k).to_bytes(prefix, "little"))
+                    f.write(data.ljust(-(-len(data) // 1024) * 1024, b"\0") if self.kind == "seq" else data)
+                    n += 1
+            if self.kind != "raw" and n != n_known:
+                store.patch(tmp, 0, head(n))
+            return tmp, final
+
+        files = [put(number, rows) for number, rows in itertools.groupby(frames, lambda r: r[0] // per if per else task)]
+        return _Done(*files[0], tuple(files[1:])) if files else _Done("", "")  # no rows, no file
 
 
 class RcWriter(_FileWriter):

@@ -20,6 +20,8 @@ from ..sources.readers import MrcReader, Range, RawReader, SeqReader, natural
 CHUNKS = "path string, chunk_id long, index long, frame_id long, pixels binary"
 #: Bytes of frames in an Arrow batch.
 BATCH_BYTES = 8 << 20
+#: Tasks of a batch.
+MOST_TASKS = 256
 _INNER = {"seq": (SeqReader, ".seq"), "mrc": (MrcReader, ".mrc"), "raw": (RawReader, ".bin")}
 
 
@@ -34,10 +36,32 @@ class Slice(InputPartition):
     last: int
 
 
+@dataclass
+class Slices(InputPartition):
+    """Slices one after another, read by one task."""
+
+    slices: list
+
+
+def grouped(slices: list[Slice], most: int = MOST_TASKS) -> list[InputPartition]:
+    """The slices themselves or, if they are more than ``most``, so many runs of them with about as many frames each; neighbours in a file are read as one."""
+    if len(slices) <= most:
+        return slices
+    total, before, out = sum(s.last - s.first for s in slices), 0, {}
+    for s in slices:
+        run = out.setdefault(before * most // max(1, total), [])
+        before += s.last - s.first
+        if run and (run[-1].path, run[-1].chunk, run[-1].last) == (s.path, s.chunk, s.first):
+            run[-1] = Slice(s.path, s.chunk, s.base, run[-1].first, s.last)
+        else:
+            run.append(s)
+    return [Slices(run) for run in out.values()]
+
+
 class ChunkReader(DataSourceStreamReader):
     """Options: ``path`` (folder), ``log`` (folder of the log, beside the checkpoint), ``kind`` seq, mrc or raw with that source's own options,
     ``suffix``, ``order`` "time" or "name" (2 before 10), ``hold_back`` last files that stay (1), ``skip_first`` files that are passed over (0), ``files_per_batch`` (0: all there are),
-    ``frames_per_partition``, ``stop_file``: once it is there no file is held back, so the run's last chunk is taken too, and
+    ``frames_per_partition`` (more where a batch would have over MOST_TASKS tasks), ``stop_file``: once it is there no file is held back, so the run's last chunk is taken too, and
     ``clean``: "off", "delete", or "archive" with ``archive`` (folder) for files whose batch is done.
     """
 
@@ -97,10 +121,14 @@ class ChunkReader(DataSourceStreamReader):
 
     def partitions(self, start, end):
         files = [f for e in self._load()[start["entry"] : end["entry"]] for f in e["files"]]
-        return [Slice(f["path"], f["chunk"], f["base"], a, min(f["n"], a + self.step)) for f in files for a in range(0, f["n"], self.step)]
+        return grouped([Slice(f["path"], f["chunk"], f["base"], a, min(f["n"], a + self.step)) for f in files for a in range(0, f["n"], self.step)])
 
     def read(self, partition):
-        p, rows, size = partition, [], 0
+        for p in partition.slices if isinstance(partition, Slices) else [partition]:
+            yield from self._slice(p)
+
+    def _slice(self, p):
+        rows, size = [], 0
         for _, frame, data in self.inner.frames(Range(p.path, p.first, p.last, p.base)):
             rows.append((frame, data))
             size += len(data)

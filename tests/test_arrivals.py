@@ -229,3 +229,34 @@ def test_store(tmp_path):
     assert store.read(f"{p}/x_10.bin") == b"tne" and store.size(f"{p}/x_10.bin") == 3 and not store.exists(f"{p}/x_2.bin")
     with pytest.raises(FileNotFoundError):
         readers.find(f"{p}/none")
+
+
+def test_a_batch_of_very_many_files_has_few_tasks(tmp_path):
+    d = str(tmp_path / "in")
+    for k in range(40):
+        chunk(d, f"{k}.seq", 5 * k, 5, 100)
+    r = arrivals.ChunkReader({"path": d, "log": str(tmp_path / "log"), "order": "name", "hold_back": "0", "frames_per_partition": "2"})
+    small = r.partitions(r.initialOffset(), r.latestOffset())
+    assert len(small) == 120
+    few = arrivals.grouped(small, 7)
+    assert len(few) == 7
+    rows = lambda parts: [(p, c, i, f, x) for q in parts for b in r.read(q) for p, c, i, f, x in zip(*(b.column(j).to_pylist() for j in range(5)))]
+    assert rows(few) == rows(small) and [x[3] for x in rows(few)] == list(range(200))
+    assert max(sum(s.last - s.first for s in q.slices) for q in few) <= 30
+    assert len(few[0].slices) <= 7  # neighbours in a file are one
+    many = [arrivals.Slice(f"{d}/0.seq", k, k, 0, 1) for k in range(5000)]
+    assert len(arrivals.grouped(many)) == arrivals.MOST_TASKS and len(arrivals.grouped([])) == 0
+
+
+def test_a_task_writes_a_file_for_every_so_many_frames(spark, tmp_path):
+    readers.register(spark)
+    rows = spark.createDataFrame([(k, frame(k).tobytes()) for k in range(3, 50) if k not in range(20, 30)], "frame_id long, pixels binary")
+    out = str(tmp_path / "out")
+    w = lambda df: df.write.format("seq").mode("overwrite").option("ny", 4).option("nx", 6).option("frames_per_file", 10).option("sorted", "true").save(out)
+    w(rows.repartition(2, (rows.frame_id / 10).cast("int")).sortWithinPartitions("frame_id"))
+    assert sorted(n for n in os.listdir(out) if not n.startswith(".")) == ["frames_000.seq", "frames_001.seq", "frames_003.seq", "frames_004.seq"]
+    got = spark.read.format("seq").option("numbering", "run").load(out)
+    assert [bytes(r.pixels) for r in got.orderBy("frame_id").collect()] == [frame(k).tobytes() for k in range(3, 50) if k not in range(20, 30)]
+    with pytest.raises(Exception, match="one file"):
+        w(rows.repartition(4, "frame_id").sortWithinPartitions("frame_id"))
+    assert len([n for n in os.listdir(out) if not n.startswith(".")]) == 4
