@@ -313,8 +313,7 @@ _RECAL = "SELECT frame_id, y, x, v::INT AS v FROM (SELECT fr.frame_id, g.y, g.x,
 def _recal(spark, d, eps):
     dark = _dark(spark)
     new = dark.select("y", "x", F.expr("t + (y + x) % 7 - 3").alias("t"))
-    raw = raw_frames(spark, d)
-    return frames.recalibrate(frames.reduce_l1(raw, dark, EPS, GEOM), dark, new, eps, GEOM, raw)
+    return frames.recalibrate(frames.reduce_l1(raw_frames(spark, d), dark, EPS, GEOM), dark, new, eps, GEOM, frame_ids(spark, d))
 
 
 @query(_RECAL.format(eps=1))
@@ -329,8 +328,7 @@ def recalibrate_sparse(spark, d):
 
 @query("SELECT fr.frame_id, 4096::BIGINT AS n_px, coalesce(sum(v), 0)::BIGINT AS sum_v, (4096 - count(v))::BIGINT AS n_zero FROM fr LEFT JOIN l1 USING (frame_id) GROUP BY 1")
 def expand_dense(spark, d):
-    raw = raw_frames(spark, d)
-    px = frames.pixels(frames.dense(frames.reduce_l1(raw, _dark(spark), EPS, GEOM), GEOM, raw), GEOM)
+    px = frames.pixels(frames.dense(_l1(spark, d), GEOM, frame_ids(spark, d)), GEOM)
     return px.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n_px"), F.sum("adu").alias("sum_v"), F.count_if(F.col("adu") == 0).alias("n_zero"))
 
 

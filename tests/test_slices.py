@@ -136,3 +136,20 @@ def test_sums_of_frames_of_one_id_count_together(spark):
     df = spark.createDataFrame([(1, a.tobytes()), (1, b.tobytes()), (2, None), (None, a.tobytes())], "frame_id long, pixels binary")
     got = {tuple(r) for r in frames.pixel_sums(df, g).collect()}
     assert got == {(1, 12, 21 + 65542, 65535, 70 + 35), (None, 6, 21, 6, 70)}
+
+
+@pytest.mark.parametrize("name, kernels", [("recalibrate", 4), ("expand_dense", 4)])
+def test_images_are_made_once_where_frames_are_rebuilt(spark, sf_dir, name, kernels):
+    from lumenframe.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == kernels  # images, sparse rows, whole frames and what is made of these; ids come without images
+
+
+def test_recalibrated_frames_come_in_slices(spark, given, monkeypatch):
+    whole = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), pa.array([i.astype("<i4").tobytes() for i in IMAGES[:600]], pa.binary())], ["frame_id", "pixels"])
+    monkeypatch.setattr(frames, "dense", lambda *_: Frames(spark, whole))
+    out = frames.recalibrate(given, DARK, DARK - 3, 1, G)
+    assert max(len(_ids([b])) for b in out) * 4 * G.pixels <= SLICE_BYTES
+    assert _ids(out) == [*range(600), 3, 4]
+    assert [r[3] for r in _rows(out) if r[0] == 599] == (IMAGES[599] + 2).tolist()
